@@ -113,7 +113,7 @@ def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     sums = rows.groupBy("sid", "run").agg(F.sum("size").alias("n"))
     base = sums.select("sid", "run", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(base, ["sid", "run"]).withColumn("begin", F.col("base") + F.col("within")).drop("base", "within", "run", "n_runs")
+    return rows.join(base.hint("merge"), ["sid", "run"]).withColumn("begin", F.col("base") + F.col("within")).drop("base", "within", "run", "n_runs")
 
 
 def document_blocks(placed: DataFrame, block: int) -> DataFrame:
@@ -141,9 +141,9 @@ def mix_sources(
     targets = kept(source_targets(sized, weights, max_repeat), "targets")
     placed = _placed(sized, targets)
     times = slots(targets, block, shard_slots, max_repeat, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = document_blocks(placed, block).join(times, ["sid", "block"]).groupBy("id", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = document_blocks(placed, block).join(times.hint("merge"), ["sid", "block"]).groupBy("id", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = sized.join(targets.select(F.col("source").alias("t_source"), "source_size", "target"), sized.source.eqNullSafe(F.col("t_source")))
-    out = out.join(taken, ["id", "nth"], "left")
+    out = out.join(taken.hint("merge"), ["id", "nth"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from arcwell.llm.bpe import op2_bpe_round_trip
+from arcwell.llm.langid import op5_language_id
 from arcwell.llm.mixing import op10_source_mix
 from arcwell.llm.simhash import op8_simhash_near_dedup
+from arcwell.llm.toxicity import op6_toxicity
 from arcwell.llm.warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_source_mix": op10_source_mix,
