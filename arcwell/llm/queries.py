@@ -5,14 +5,18 @@ from __future__ import annotations
 from arcwell.llm.ann import op7_nearest_neighbours
 from arcwell.llm.bpe import op2_bpe_round_trip
 from arcwell.llm.langid import op5_language_id
+from arcwell.llm.lempel_ziv import OP1_SQL, op1_substring_dedup
 from arcwell.llm.mixing import op10_source_mix
 from arcwell.llm.neardup_vectors import OP4_SQL, op4_embedding_near_dedup
 from arcwell.llm.simhash import op8_simhash_near_dedup
+from arcwell.llm.suffixes import OP3_SQL, op3_suffix_array_dedup
 from arcwell.llm.toxicity import op6_toxicity
 from arcwell.llm.warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
@@ -23,6 +27,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op3_suffix_array_dedup": OP3_SQL,
     "op4_embedding_near_dedup": OP4_SQL,
     "op9_warc_round_trip": OP9_SQL,
 }
