@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from arcwell.llm.common import table
 from arcwell.llm.repeats import Collection, Symbols, covered, with_spans
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 
 
 class _Files:
@@ -84,15 +84,13 @@ def collection_bwt(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             order = np.argsort(bwt, kind="stable")
             order = order[len(bwt) - np.count_nonzero(bwt) :]
             fresh = new[order]
-            # The string of each new suffix: those whose last suffixes lie in this order.
-            owner = np.empty(len(bwt), np.int64)
-            owner[place[live]] = live
             at = np.flatnonzero(fresh)
-            place[owner[order[at]]] = n + at
+            # New suffixes are in the order of their first symbols, then of what follows these.
+            place[live[np.lexsort((place[live], bwt[place[live]]))]] = n + at
             out_bwt, out_lcp = np.zeros(n + len(order), np.uint8), np.zeros(n + len(order), np.uint8)
             out_bwt[:n] = bwt[:n]
-            old = n + np.flatnonzero(~fresh)
-            out_bwt[old], out_lcp[old] = bwt[n:], lcp[n:]
+            old = ~fresh
+            out_bwt[n:][old], out_lcp[n:][old] = bwt[n:], lcp[n:]
             again = np.union1d(at, at + 1)
             again = again[(again > 0) & (again < len(order))]
             symbol = bwt[order[again]]
