@@ -104,11 +104,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids, decoded.
+def bpe_round_trip(rows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, decodes) for every row of ``rows`` (row: a struct of the first three, text).
 
-    A null text is as an empty one: no ids, empty decoded text.  Repeated rows are
-    encoded each.  ``path`` is a vocabulary file that every executor can open.
+    ``decodes`` says whether the ids decode to the text again.  A null text is as
+    an empty one: no ids.  Repeated rows are encoded each.  ``path`` is a
+    vocabulary file that every executor can open.
     """
 
     def run(batches):
@@ -116,13 +117,15 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             # A few rows at a time: what is in memory doesn't grow with the batch.
             for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                ids = [c.encode(t) for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = [c.encode(t) for t in texts]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = pa.array(np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+                decodes = pa.array([c.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(offsets, flat), decodes], names=["row", "n_tokens", "ids", "decodes"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    out = rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, f"row {dict(rows.dtypes)['row']}, n_tokens long, ids array<int>, decodes boolean")
+    return out.select("row.*", "n_tokens", "ids", "decodes")
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:

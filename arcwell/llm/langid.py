@@ -195,14 +195,27 @@ def page_languages(pages: DataFrame, model: TextModel) -> DataFrame:
     return identify(rows, model, markup=True).withColumnRenamed("key", "page_id")
 
 
-def document_languages(docs: DataFrame, model: TextModel) -> DataFrame:
+def document_languages(docs: DataFrame, model: TextModel, key: Column | None = None) -> DataFrame:
     """Identify ``docs`` (doc_id, text, lang, source): lang is the declared language, source the host."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").cast("string").alias("declared")
+        (F.col("doc_id").cast("long") if key is None else key).alias("key"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").cast("string").alias("declared")
     )
     return identify(rows, model).withColumnRenamed("key", "doc_id")
 
 
+def in_known_languages(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with their columns; the model is learnt from their own labels.
+
+    Few rows are rejected, so these are taken away by an anti join; a row is known
+    by its id and a hash of its text.
+    """
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    rejected = kept(document_languages(docs, train_text_model(docs), key).filter("rejected").select("doc_id.id", "doc_id.text_hash").distinct(), "rejected")
+    marked = docs.select("*", key.alias("__key"))
+    same = (marked["__key"]["id"] == rejected["id"]) & (marked["__key"]["text_hash"] == rejected["text_hash"])
+    return marked.join(rejected, same, "left_anti").drop("__key")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_text_model(table(spark, sf_dir, "documents"))
     found = page_languages(table(spark, sf_dir, "pages"), model)

@@ -117,11 +117,12 @@ def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def document_blocks(placed: DataFrame, block: int) -> DataFrame:
-    """(id, nth, sid, block, words): which words of which blocks each document gives."""
+    """(id, nth, sid, block, first, words): which of its words each document gives to which blocks."""
     last = F.floor((F.col("begin") + F.col("size") - 1) / block)
     each = placed.filter("size > 0").select("id", "nth", "sid", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), last)).alias("block"))
     words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
-    return each.select("id", "nth", "sid", "block", words.alias("words"))
+    first = F.greatest(F.lit(0), F.col("block") * block - F.col("begin"))
+    return each.select("id", "nth", "sid", "block", first.cast("long").alias("first"), words.cast("long").alias("words"))
 
 
 def mix_sources(
@@ -134,24 +135,58 @@ def mix_sources(
     source of its own, the last; rows with equal or null doc_id are documents of
     their own.  No rows give no rows.  The same rows and seed give the same mix.
     """
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
-    sized = kept(_numbered(sized), "sized")
+    sized = kept(_numbered(_sized(docs)).select("doc_id", "source", "size", "id", "nth"), "sized")
     targets = kept(source_targets(sized, weights, max_repeat), "targets")
-    placed = _placed(sized, targets)
-    times = slots(targets, block, shard_slots, max_repeat, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = document_blocks(placed, block).join(times.hint("merge"), ["sid", "block"]).groupBy("id", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = _taken_blocks(sized, targets, block, shard_slots, max_repeat, seed).groupBy("id", "nth").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = sized.join(targets.select(F.col("source").alias("t_source"), "source_size", "target"), sized.source.eqNullSafe(F.col("t_source")))
     out = out.join(taken.hint("merge"), ["id", "nth"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "*", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    ).withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")})
+
+
 def _numbered(sized: DataFrame) -> DataFrame:
-    """Adds a key (id, nth) that tells rows with the same or no doc_id apart, alike in every run."""
-    alike = Window.partitionBy("doc_id").orderBy("source", "size")
-    nth = F.row_number().over(alike)
-    return sized.withColumn("nth", F.when(F.col("doc_id").isNull(), -nth).otherwise(nth)).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    """Adds a key (id, nth) that tells rows with the same or no doc_id apart, alike in every run.
+
+    Without such rows nothing needs to be brought together.
+    """
+    repeated = not sized.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", F.xxhash64("text"))) if repeated else F.lit(1)
+    sized = sized.withColumn("nth", nth)
+    return sized.withColumn("nth", F.when(F.col("doc_id").isNull(), -F.col("nth")).otherwise(F.col("nth"))).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
+
+
+def _taken_blocks(sized: DataFrame, targets: DataFrame, block: int, shard_slots: int, max_repeat: int, seed: int) -> DataFrame:
+    """(id, nth, sid, block, first, words, times): what the mix takes, by document and block, and how often."""
+    times = slots(targets, block, shard_slots, max_repeat, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    return document_blocks(_placed(sized, targets), block).join(times.hint("merge"), ["sid", "block"])
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = 32, shard_slots: int = 65536, max_repeat: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) as the mix takes them.
+
+    A document is returned once for each epoch that takes words of it, with these
+    words: its text unchanged if it is taken whole, else its words of the blocks taken, with
+    single blanks between.  What the mix doesn't take is not returned.
+    """
+    numbered = _numbered(_sized(docs))
+    sized = kept(numbered.select("doc_id", "source", "size", "id", "nth"), "sized")
+    targets = kept(source_targets(sized, weights, max_repeat), "targets")
+    blocks = _taken_blocks(sized, targets, block, shard_slots, max_repeat, seed)
+    # As many as a document has blocks.
+    lists = blocks.groupBy("id", "nth").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("blocks"))
+    rows = numbered.join(lists.hint("merge"), ["id", "nth"])
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("blocks", lambda b: b["times"])))))
+    rows = rows.withColumn("blocks", F.filter("blocks", lambda b: b["times"] >= F.col("epoch")))
+    whole = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["words"]) == F.col("size")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("blocks", lambda b: F.slice(words, b["first"].cast("int") + 1, b["words"].cast("int")))), " ")
+    out = rows.withColumn("taken_text", F.when(whole, F.col("text")).otherwise(some))
+    return out.select("doc_id", F.col("taken_text").alias("text"), "lang", "source", F.length("taken_text").cast("long").alias("n_chars"))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

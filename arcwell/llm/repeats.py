@@ -58,10 +58,10 @@ class Symbols:
         return self.codes([text])[0] if self.words else np.frombuffer(text, np.uint8)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
     repeated = not texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return texts.select("doc_id", (F.hash("text") if repeated else F.lit(0)).cast("int").alias("version"), "text")
+    return texts.select("doc_id", (F.hash("text") if repeated else F.lit(0)).cast("int").alias("version"), "text", "carried")
 
 
 def _cut(texts: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
@@ -71,17 +71,17 @@ def _cut(texts: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFram
         for batch in batches:
             for lo in range(0, batch.num_rows, _TEXTS):
                 part = batch.slice(lo, _TEXTS)
-                codes, bounds = symbols.codes([(t or "").encode() for t in part.column(2).to_pylist()])
+                codes, bounds = symbols.codes([(t or "").encode() for t in part.column("text").to_pylist()])
                 doc, start, n, anchor, content = stretches(codes, bounds, window, gram)
-                version = part.column(1).to_numpy().astype(np.int64)[doc]
+                version = part.column("version").to_numpy().astype(np.int64)[doc]
                 classes = (content & ~np.uint64(0xFF)) | n.astype(np.uint64)
                 # 48 bits of an anchor: others that share them are only compared in vain.
-                arrays = [(anchor >> np.uint64(16)).astype(np.int64), classes.view(np.int64), part.column(0).to_numpy()[doc], version * _LOW + start]
+                arrays = [(anchor >> np.uint64(16)).astype(np.int64), classes.view(np.int64), part.column("doc_id").to_numpy()[doc], version * _LOW + start]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["anchor", "class", "doc_id", "at"])
 
     if window - gram + 1 > 255:
         raise ValueError("a stretch may have 255 windows at most")
-    return texts.mapInArrow(run, "anchor long, class long, doc_id long, at long")
+    return texts.select("doc_id", "version", "text").mapInArrow(run, "anchor long, class long, doc_id long, at long")
 
 
 def _marked(cuts: DataFrame, all_copies: bool) -> DataFrame:
@@ -208,11 +208,12 @@ def covered(spans: pa.ListScalar | None, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, symbols: Symbols, window: int, gram: int, compare, all_copies: bool) -> DataFrame:
-    """(doc_id, text, spans) for every row of ``docs``; rows without an id have no spans."""
-    texts = _texts(docs)
+def with_spans(docs: DataFrame, symbols: Symbols, window: int, gram: int, compare, all_copies: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, spans) and the columns ``carry`` for every row of ``docs``; rows without an id have no spans."""
+    texts = _texts(docs, carry)
     known = texts.filter("doc_id is not null")
     spans = repeated_spans(known, symbols, window, gram, compare, all_copies)
     # The same exchange of the texts serves this join and the reading of representatives.
-    found = known.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
-    return found.union(texts.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>")))
+    found = known.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans", "carried")
+    found = found.union(texts.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>"), "carried"))
+    return found.select("doc_id", "text", "spans", *[F.col("carried")[c].alias(c) for c in carry])

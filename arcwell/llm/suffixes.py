@@ -164,9 +164,9 @@ def _halves(c: Collection, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return _runs(np.array(string, np.int64), np.array(start, np.int64), window)
 
 
-def later_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, spans): what byte windows of each text also start earlier."""
-    return with_spans(docs, Symbols(False), window, gram, lambda c: later_windows(c, window), all_copies=False)
+def later_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, spans, carried columns): what byte windows of each text also start earlier."""
+    return with_spans(docs, Symbols(False), window, gram, lambda c: later_windows(c, window), all_copies=False, carry=carry)
 
 
 def kept_bytes(text: str | None, spans) -> tuple[bytes, np.ndarray]:
@@ -200,6 +200,27 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return later_spans(docs, window, gram).mapInArrow(run, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) without repeated passages.
+
+    As ``suffix_dedup``; characters of which a byte goes go whole, and documents
+    that had words and have none left go.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                before = [t.as_py() for t in part.column(1)]
+                after = [None if t is None else kept_bytes(t, part.column(2)[i])[0].decode("utf-8", "ignore") for i, t in enumerate(before)]
+                stays = pa.array([not (t or "").split() or bool((x or "").split()) for t, x in zip(before, after, strict=True)])
+                text, n = pa.array(after, pa.string()), pa.array([None if x is None else len(x) for x in after], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), text, part.column(3), part.column(4), n], names=["doc_id", "text", "lang", "source", "n_chars"]).filter(stays)
+
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    return later_spans(rows, window, gram, ("lang", "source")).mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+
+
 _NAMES = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 _KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
