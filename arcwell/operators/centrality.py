@@ -34,7 +34,9 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def incremental_degree(before: DataFrame, nodes: DataFrame, edges: DataFrame, affected: DataFrame) -> DataFrame:
     """Degrees after a change: counted anew for affected ids only, else taken from ``before``."""
     touched = affected.select("id").distinct()
-    near = edges.join(touched, F.col("from_id") == F.col("id"), "left_semi").unionByName(edges.join(touched, F.col("from_id") == F.col("id"), "left_anti").join(touched, F.col("to_id") == F.col("id"), "left_semi"))
+    ends, ids = edges.select("from_id", "to_id"), touched.withColumnRenamed("id", "__id")
+    by_from, by_to = F.col("from_id") == F.col("__id"), F.col("to_id") == F.col("__id")
+    near = ends.join(ids, by_from, "left_semi").unionByName(ends.join(ids, by_from, "left_anti").join(ids, by_to, "left_semi"))
     new = raw_degrees(nodes.join(touched, "id", "left_semi"), near).select("id", "in_degree", "out_degree")
     old = before.select("id", "in_degree", "out_degree").join(touched, "id", "left_anti").join(nodes.select("id"), "id", "left_semi")
     return normalised(new.unionByName(old), nodes.count())

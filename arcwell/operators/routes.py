@@ -91,7 +91,9 @@ def pareto_routes(edges: DataFrame, start: int, goal: int, criteria: tuple[str,
     weighted mean of what each criterion loses against the best, scaled to the worst.
     """
     spark = edges.sparkSession
-    found = simple_paths(edges, spark.createDataFrame([(start,)], "id long"), max_hops, None, extra=criteria).filter(F.col("last") == goal)
+    named = edges.select("id", "from_id", "to_id", *[F.col(c).alias(f"by_{c}") for c in criteria])
+    found = simple_paths(named, spark.createDataFrame([(start,)], "id long"), max_hops, None, extra=tuple(f"by_{c}" for c in criteria)).filter(F.col("last") == goal)
+    found = found.select("path", *[F.col(f"by_{c}").alias(c) for c in criteria])
     found = cut(found.groupBy(*criteria).agg(F.min(F.concat_ws(">", F.col("path").cast("array<string>"))).alias("path")))
     other = found.select(*[F.col(c).alias(f"o_{c}") for c in criteria])
     no_worse = [F.col(f"o_{c}") <= F.col(c) for c in criteria]

@@ -118,8 +118,8 @@ def cycles(nodes: DataFrame, edges: DataFrame, max_length: int = 100, max_cycles
     inside = cut(on_cycles.join(size, "component", "left_semi").select("id"))
     loops = edges.filter("from_id = to_id").select(F.col("from_id").alias("id"))
     longest = min(max_length, max(1, inside.count()))
-    keep = edges.join(inside.union(loops).distinct(), F.col("from_id") == F.col("id"), "left_semi")
-    starts = inside.union(loops).distinct()
+    starts = cut(inside.union(loops).distinct())
+    keep = edges.join(starts.withColumnRenamed("id", "__id"), F.col("from_id") == F.col("__id"), "left_semi")
     found = cut(simple_paths(keep, starts, longest, cycles=True).select("start", "path", "edges"))
     ordered = found.orderBy(F.size("path"), F.col("path").cast("string"), F.col("edges").cast("string")).limit(max_cycles)
     return ordered, found.count() > max_cycles

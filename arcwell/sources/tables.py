@@ -69,15 +69,15 @@ trade_sums AS (
 
 
 def supplied_by(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id) and edges (from_id, to_id, weight) from parts (negative ids) to suppliers."""
-    edges = read(spark, sf_dir, "lineitem").groupBy((-F.col("l_partkey")).alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(F.count(F.lit(1)).alias("weight"))
-    nodes = read(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("id")).union(read(spark, sf_dir, "supplier").select("s_suppkey"))
+    """Nodes (id) and edges (from_id, to_id, weight) from parts (negative ids, as both count from 0) to suppliers."""
+    edges = read(spark, sf_dir, "lineitem").groupBy((-F.col("l_partkey") - 1).alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(F.count(F.lit(1)).alias("weight"))
+    nodes = read(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("id")).union(read(spark, sf_dir, "supplier").select("s_suppkey"))
     return nodes, edges
 
 
 SUPPLIED_SQL = """
-e AS (SELECT -l_partkey AS from_id, l_suppkey AS to_id, count(*) AS weight FROM lineitem GROUP BY 1, 2),
-n AS (SELECT -p_partkey AS id FROM part UNION ALL SELECT s_suppkey FROM supplier)"""
+e AS (SELECT -l_partkey - 1 AS from_id, l_suppkey AS to_id, count(*) AS weight FROM lineitem GROUP BY 1, 2),
+n AS (SELECT -p_partkey - 1 AS id FROM part UNION ALL SELECT s_suppkey FROM supplier)"""
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
