@@ -7,7 +7,7 @@ shard's counts of sources a multinomial draw conditioned on the exact totals.
 The i-th slot of a source is mapped through a pseudorandom permutation of the
 source's block indexes (a new one each epoch), and slots and blocks are joined by
 index.  A whole epoch takes each block once, so no document is taken more often
-than ``max_repeat`` times and a source meets its target to about half a block.
+than ``max_repeat`` times and a source meets its target to a block and a half.
 """
 
 from __future__ import annotations
@@ -143,10 +143,11 @@ def mix_sources(
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "*", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    ).withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")})
+def _sized(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, source, text and the columns ``carry``, whatever else ``docs`` has, with size."""
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), *carry, size.alias("size"))
 
 
 def _numbered(sized: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     words: its text unchanged if it is taken whole, else its words of the blocks taken, with
     single blanks between.  What the mix doesn't take is not returned.
     """
-    numbered = _numbered(_sized(docs))
+    numbered = _numbered(_sized(docs, "lang"))
     sized = kept(numbered.select("doc_id", "source", "size", "id", "nth"), "sized")
     targets = kept(source_targets(sized, weights, max_repeat), "targets")
     blocks = _taken_blocks(sized, targets, block, shard_slots, max_repeat, seed)
