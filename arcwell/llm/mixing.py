@@ -161,10 +161,13 @@ def _numbered(sized: DataFrame) -> DataFrame:
     return sized.withColumn("nth", F.when(F.col("doc_id").isNull(), -F.col("nth")).otherwise(F.col("nth"))).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long")))
 
 
-def _taken_blocks(sized: DataFrame, targets: DataFrame, block: int, shard_slots: int, max_repeat: int, seed: int) -> DataFrame:
-    """(id, nth, sid, block, first, words, times): what the mix takes, by document and block, and how often."""
+def _taken_blocks(sized: DataFrame, targets: DataFrame, block: int, shard_slots: int, max_repeat: int, seed: int, how: str = "inner") -> DataFrame:
+    """(id, nth, sid, block, first, words, times): what the mix takes, by document and block, and how often.
+
+    With ``how`` left, blocks that it doesn't take are there with null times.
+    """
     times = slots(targets, block, shard_slots, max_repeat, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    return document_blocks(_placed(sized, targets), block).join(times.hint("merge"), ["sid", "block"])
+    return document_blocks(_placed(sized, targets), block).join(times.hint("merge"), ["sid", "block"], how)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), block: int = 32, shard_slots: int = 65536, max_repeat: int = 3, seed: int = 42) -> DataFrame:
@@ -177,15 +180,16 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     numbered = _numbered(_sized(docs, "lang"))
     sized = kept(numbered.select("doc_id", "source", "size", "id", "nth"), "sized")
     targets = kept(source_targets(sized, weights, max_repeat), "targets")
-    blocks = _taken_blocks(sized, targets, block, shard_slots, max_repeat, seed)
+    blocks = _taken_blocks(sized, targets, block, shard_slots, max_repeat, seed, "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
     # As many as a document has blocks.
-    lists = blocks.groupBy("id", "nth").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("blocks"))
+    lists = blocks.groupBy("id", "nth").agg(F.max("times").alias("most"), F.min("times").alias("least"), F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("blocks")).filter("most > 0")
     rows = numbered.join(lists.hint("merge"), ["id", "nth"])
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("blocks", lambda b: b["times"])))))
-    rows = rows.withColumn("blocks", F.filter("blocks", lambda b: b["times"] >= F.col("epoch")))
-    whole = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + b["words"]) == F.col("size")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    # Arrays side by side: each is made once for a row, not once for a block.
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("blocks", lambda b: F.slice(words, b["first"].cast("int") + 1, b["words"].cast("int")))), " ")
+    taken = F.flatten(F.transform("blocks", lambda b: F.array_repeat(b["times"] >= F.col("epoch"), b["words"].cast("int"))))
+    some = F.array_join(F.filter(F.zip_with(words, taken, lambda w, t: F.when(t, w)), lambda w: w.isNotNull()), " ")
+    whole = F.col("least") >= F.col("epoch")
     out = rows.withColumn("taken_text", F.when(whole, F.col("text")).otherwise(some))
     return out.select("doc_id", F.col("taken_text").alias("text"), "lang", "source", F.length("taken_text").cast("long").alias("n_chars"))
 
