@@ -325,6 +325,12 @@ def bitemporal_project(spark, d):
     return history.project(history_log(spark, d), _T2, _T1).select("event_id", "entity_id")
 
 
+@query("SELECT 'User' AS entity_type, user_id AS entity_id, ts AS captured_at, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 = 0")
+def history_snapshot_json(spark, d):
+    h = history_log(spark, d).filter("event_id % 5 = 0").join(read(spark, d, "events").select("event_id", F.col("props").alias("snapshot_json")), "event_id")
+    return history.typed_snapshots(h, "k bigint")
+
+
 def _edge_history(spark, d):
     """Which user followed which: each event links its user to the one 7 ids on, and errors undo it."""
     h = history_log(spark, d)

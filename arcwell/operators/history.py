@@ -40,6 +40,19 @@ def between(h: DataFrame, begin, end) -> DataFrame:
     return h.filter(F.col("captured_at").between(F.lit(begin).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
+def by_captured(h: DataFrame) -> DataFrame:
+    return h.orderBy("captured_at", *ENTITY)
+
+
+def by_validity(h: DataFrame) -> DataFrame:
+    return h.orderBy("valid_from", "valid_to", *ENTITY)
+
+
+def typed_snapshots(h: DataFrame, schema: str, column: str = "snapshot_json") -> DataFrame:
+    """The envelopes' stored states (JSON text) as columns of a declared type; text that doesn't fit gives nulls."""
+    return h.withColumn("snapshot", F.from_json(column, schema)).select(*ENTITY, "captured_at", "snapshot.*")
+
+
 def envelopes_of_changes(changes: DataFrame, captured_at: Column) -> DataFrame:
     """Envelopes of a change table (op, entity_type, entity_id, valid_from of the state replaced).
 

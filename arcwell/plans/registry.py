@@ -23,6 +23,14 @@ class Registry:
     def parameters(self, name: str) -> dict[str, inspect.Parameter]:
         return dict(inspect.signature(self.algorithms[name]).parameters)
 
+    def describe(self) -> list[dict]:
+        """For display: id, summary and parameters with their defaults."""
+        out = []
+        for name, function in sorted(self.algorithms.items()):
+            params = {k: None if p.default is p.empty else p.default for k, p in self.parameters(name).items()}
+            out.append({"id": name, "summary": (function.__doc__ or "").strip().split("\n")[0], "parameters": params})
+        return out
+
     def run(self, name: str, *args, **options):
         """The result, and how it was run: id, options and seconds to build the plan."""
         if name not in self.algorithms:
