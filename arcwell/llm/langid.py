@@ -43,9 +43,14 @@ def declared_language(page: str | None) -> str | None:
     return found[1].lower() if found else None
 
 
+#: Digits and signs tell no language; numbers, addresses and keys aren't held against a text.
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
 def trigram_bins(text: str | None) -> np.ndarray:
-    """The bin of each byte trigram of a text, A-Z lower-cased; a text under three bytes has none."""
-    b = np.frombuffer((text or "").encode().lower(), np.uint8).astype(np.uint32)
+    """The bin of each byte trigram of a text's letters, A-Z lower-cased, one blank for what lies between."""
+    letters = b" ".join((text or "").encode().lower().translate(_LETTERS).split())
+    b = np.frombuffer(letters, np.uint8).astype(np.uint32)
     if len(b) < 3:
         return np.empty(0, np.uint32)
     h = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
