@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwell.llm.anchors import Spans, byte_codes
 from arcwell.llm.common import table
 from arcwell.llm.repeats import Collection, Symbols, covered, with_spans
 
@@ -121,10 +122,33 @@ def suffix_places(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return string, length
 
 
+def sharing(strings: list[bytes], window: int) -> np.ndarray:
+    """The strings of which a window's hash occurs in others too; the rest have no equal windows to find."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    n = np.maximum(sizes - window + 1, 0)
+    owner = np.repeat(np.arange(len(strings)), n)
+    start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+    hashes = Spans(byte_codes()[np.frombuffer(b"".join(strings), np.uint8)])(start, start + window)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    found = np.zeros(len(strings), bool)
+    found[owner[order[1:][same]]] = True
+    found[owner[order[:-1][same]]] = True
+    return np.flatnonzero(found)
+
+
 def later_windows(c: Collection, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What of a collection's strings is covered by windows that also start earlier."""
+    """What of a collection's strings is covered by windows that also start earlier: string, start and length."""
+    some = sharing(c.strings, window)
+    if not len(some):
+        return some, some, some
+    which, start, length = _later(Collection(c.doc_id[some], c.at[some], c.copy[some], [c.strings[i] for i in some]), window)
+    return some[which], start, length
+
+
+def _later(c: Collection, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     strings = [np.frombuffer(s, np.uint8) for s in c.strings]
-    if len({b for s in c.strings for b in s}) > 255:
+    if len(np.unique(np.concatenate(strings))) > 255:
         return _halves(c, window)
     sizes = np.array([len(s) for s in strings], np.int64)
     bwt, lcp = collection_bwt(strings)
