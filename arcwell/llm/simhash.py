@@ -179,7 +179,11 @@ def _triples(count: int) -> list[tuple[int, int, int]]:
 
 
 def _close(rows: list, most: int) -> list[tuple[int, int]]:
-    """Links of a posting's (id, high, low) that connect what differs in at most ``most`` bits."""
+    """Links from a posting's (id, high, low) to the smallest id that is connected by at most ``most`` bits.
+
+    Different postings of one group mostly agree on it, so a group has few different links.
+    """
+    rows = sorted(rows, key=lambda r: r["least"])
     ids = [r["least"] for r in rows]
     high, low = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in ("high", "low"))
     parent = list(range(len(ids)))
@@ -189,15 +193,12 @@ def _close(rows: list, most: int) -> list[tuple[int, int]]:
             parent[i] = i = parent[parent[i]]
         return i
 
-    links = []
     for i in range(len(ids) - 1):
         apart = np.bitwise_count(high[i + 1 :] ^ high[i]) + np.bitwise_count(low[i + 1 :] ^ low[i])
         for j in (np.flatnonzero(apart <= most) + i + 1).tolist():
             a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((ids[i], ids[j]))
-    return links
+            parent[max(a, b)] = min(a, b)
+    return [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
 
 
 def near_text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, triples: int = 80) -> DataFrame:
