@@ -201,14 +201,14 @@ def _close(rows: list, most: int) -> list[tuple[int, int]]:
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
 
 
-def near_text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, triples: int = 80) -> DataFrame:
+def near_text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, triples: int = 120) -> DataFrame:
     """(doc_id, component_id) of documents whose word shingles are alike by their SimHash.
 
     Fingerprints have 128 bits, so that distance tells a similarity of 0.8 from
     lower ones; links are of fingerprints no further apart than that similarity is on
-    average.  At such distances no count of shared positional bytes is certain: a
-    pair is compared if it shares the three bytes of one of ``triples`` choices,
-    which 0.8 meets with a probability of 0.8, 0.85 of 0.95 and 0.9 of 0.99.
+    average and half a standard deviation.  At such distances no count of shared
+    positional bytes is certain: a pair is compared if it shares the three bytes of
+    one of ``triples`` choices, which 0.8 meets with a probability of 0.9 and 0.85 of 0.98.
     Texts without words are alike; rows without an id aren't returned.
     """
 
@@ -227,7 +227,8 @@ def near_text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     key = lambda i, t: F.shiftleft(F.lit(i).cast("long"), 24) + byte(t[0]) * 65536 + byte(t[1]) * 256 + byte(t[2])
     keys = F.array(*[key(i, t) for i, t in enumerate(_triples(triples))])
     postings = classes.select("high", "low", "least", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list(F.struct("least", "high", "low")).alias("rows")).filter(F.size("rows") > 1)
-    most = int(128 * bits_apart(similarity) + 0.5)
+    p = bits_apart(similarity)
+    most = int(128 * p + 0.5 * np.sqrt(128 * p * (1 - p)))
 
     def link(batches):
         for batch in batches:
