@@ -186,19 +186,21 @@ def _close(rows: list, most: int) -> list[tuple[int, int]]:
     rows = sorted(rows, key=lambda r: r["least"])
     ids = [r["least"] for r in rows]
     high, low = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in ("high", "low"))
-    parent = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i in range(len(ids) - 1):
-        apart = np.bitwise_count(high[i + 1 :] ^ high[i]) + np.bitwise_count(low[i + 1 :] ^ low[i])
-        for j in (np.flatnonzero(apart <= most) + i + 1).tolist():
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-    return [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
+    left = np.ones(len(ids), bool)
+    links = []
+    for start in range(len(ids)):
+        if not left[start]:
+            continue
+        left[start] = False
+        queue = [start]
+        while queue:  # only what isn't connected yet is compared, all of it at once
+            i = queue.pop()
+            rest = np.flatnonzero(left)
+            near = rest[np.bitwise_count(high[rest] ^ high[i]) + np.bitwise_count(low[rest] ^ low[i]) <= most]
+            left[near] = False
+            queue += near.tolist()
+            links += [(ids[start], ids[j]) for j in near.tolist()]
+    return links
 
 
 def near_text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, triples: int = 120) -> DataFrame:
