@@ -211,6 +211,41 @@ def test_near_text_groups_find_copies_and_leave_others(spark):
     assert sum(got[40 + i] == i for i in range(20)) >= 19 and got[60] == 30 and all(got[i] == i for i in range(40))
 
 
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def plain_near_groups(texts):
+    sets = [plain_shingles(t) for t in texts]
+    near = [[j for j, y in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)] for x in sets]
+    label = list(range(len(texts)))
+    while True:
+        new = [min(label[j] for j in js) for js in near]
+        if new == label:
+            return label
+        label = new
+
+
+def test_near_text_groups_are_brute_force(spark):
+    rng = random.Random(8)
+    line = [f"c{i}" for i in range(12)]
+    texts = []
+    for i in range(120):
+        words = line * (i % 3 == 0) + [f"t{rng.randrange(3000)}" for _ in range(rng.randint(20, 300))]
+        texts.append(" ".join(words))
+        for _ in range(1 + 20 * (i % 40 == 0)):
+            edited = list(words)
+            for _ in range(max(1, int(len(words) * rng.uniform(0.005, 0.06)))):
+                edited[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_text_groups(documents(spark, texts)).collect()}
+    want = plain_near_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want and 30 < sum(i != c for i, c in enumerate(want)) < 150
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
