@@ -246,6 +246,17 @@ def test_near_text_groups_are_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want and 30 < sum(i != c for i, c in enumerate(want)) < 150
 
 
+def test_near_text_groups_link_only_what_is_similar(spark):
+    words = [f"w{i}" for i in range(304)]  # 300 shingles
+    apart = [list(words) for _ in range(8)]
+    for i, t in enumerate(apart):
+        for at in range(10 + i, 300, 33):  # nine words, 45 shingles: 255 of 345 are shared
+            t[at] = f"x{i}"
+    texts = [" ".join(words), *map(" ".join, apart), None, "", " \n", *(f"six{i} words are{i} in this{i} text" for i in range(3000))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_text_groups(documents(spark, texts)).collect()}
+    assert got == {i: i for i in range(len(texts))} | {10: 9, 11: 9}
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
