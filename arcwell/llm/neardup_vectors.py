@@ -2,9 +2,9 @@
 
 Independent codebooks of a vector's two halves form a grid of cells.  A vector
 lies in one cell and looks into others in the order of how far it is from them:
-a multi-sequence traversal merges the halves' sorted distances and stops where a
-link of the least cosine would cross that far with a probability below what the
-target recall leaves.  Pairs are verified in double precision.
+a multi-sequence traversal merges the halves' sorted distances and stops where no
+link of the least cosine can cross that far, whatever its direction.  Pairs are
+verified in double precision.
 
 Copies are one vector with a count.  A cell's vectors and its visitors are dealt
 out in blocks; a block returns counts and links that span its groups, never all
@@ -29,22 +29,18 @@ from arcwell.llm.vectors import kmeans, matrix, sample, unit, valid
 BLOCK = 2048
 #: Distinct vectors for each cell of the grid that the codebooks aim at.
 _PER_CELL = 2048
-#: Standard deviations of a displacement along one direction that traversal covers;
-#: a link at exactly the least cosine is then found with probability over 0.9999.
-REACH = 4.0
 
 
 class Grid:
     """Codebooks of both halves, and the traversal of their product."""
 
-    def __init__(self, x: np.ndarray, rows: int, threshold: float, reach: float = REACH):
+    def __init__(self, x: np.ndarray, rows: int, threshold: float):
         k = int(min(1024, max(2, round(math.sqrt(rows / _PER_CELL)))))
         self.half = max(1, x.shape[1] // 2)
         self.books = [kmeans(x[:, : self.half], k), kmeans(x[:, self.half :], k) if x.shape[1] > 1 else np.zeros((1, 0))]
         self.width = max(len(b) for b in self.books)
-        # Unit vectors at cosine c are sqrt(2 - 2c) apart; in no particular direction, that is
-        # so much along any one of them.
-        self.radius = reach * math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1])
+        # Unit vectors at cosine c are sqrt(2 - 2c) apart, which bounds what both halves cross together.
+        self.radius = math.sqrt(2 - 2 * threshold) + 1e-9
 
     def _margins(self, part: np.ndarray, book: np.ndarray) -> np.ndarray:
         """How far each row is from each centroid's side of the border with its own."""

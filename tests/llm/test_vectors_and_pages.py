@@ -54,6 +54,18 @@ def test_links_are_brute_force(spark, points):
     assert neardup_vectors.near_duplicate_vectors(embeddings(spark, x, labels).filter("false")).count() == 0
 
 
+def test_links_across_cells_of_vectors_with_few_effective_dimensions():
+    rng = np.random.default_rng(11)
+    plane = rng.normal(size=(8, 128))
+    x = rng.normal(size=(3000, 8))
+    y = x + rng.normal(scale=0.3, size=x.shape)
+    x, y = (vectors.unit(v @ plane) for v in (x, y))
+    near = (x * y).sum(axis=1) >= 0.93
+    grid = neardup_vectors.Grid(x, 400 * neardup_vectors._PER_CELL, 0.93)  # 20 centroids a half
+    seen, own = grid.cells(x[near]), [c[0] for c in grid.cells(y[near])]
+    assert near.sum() > 500 and all(c in s for c, s in zip(own, seen, strict=True))
+
+
 def test_copies_and_rows_without_id(spark):
     df = embeddings(spark, [[1.0, 2.0]] * 5 + [[1.0, 2.0]], [1] * 6, ids=[4, 3, 3, 9, 8, None])
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicate_vectors(df).collect())
