@@ -145,209 +145,6 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, seed: i
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies by the similarity of their shingles, for documents of a corpus.
-
-#: Documents that a sample for common shingles has, and how many of those it tells.
-_SAMPLED, _COMMON = 20_000, 200_000
-#: Rows that a task returns or verifies at once.
-_PIECE = 1 << 17
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, a bijection."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The ascending 64-bit hashes of a text's different word shingles, words as in ``fingerprint``."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    shingle = min(shingle, len(words))
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-    total = len(words) - shingle + 1
-    found = np.full(total, shingle, np.uint64)  # fewer words are never the same shingle as more
-    for i in range(shingle):
-        found = found * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + total]
-    return np.unique(_mix(found))
-
-
-def _least_overlap(similarity: float, sizes):
-    """What two sets with this sum of sizes share at least at that Jaccard similarity."""
-    return np.ceil(similarity / (1 + similarity) * sizes - 1e-9)
-
-
-def _prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in an order of all, rare ones first: similar sets share one of these.
-
-    Sets with a Jaccard similarity of at least s share ceil(s * n) of the n elements of either, so
-    not all of the first n - ceil(s * n) + 1 in any order that both keep can be missing in the other.
-    """
-    n = len(found)
-    if not n:
-        return found
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
-    return found[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-
-
-def _groups(batches, columns: list[str]):
-    """Arrays by name of rows that are sorted by k, cut between keys only."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column("k").to_numpy()
-        if held and held[0].column("k")[0].as_py() == k[-1] or not held and k[0] == k[-1]:
-            held.append(batch)
-            continue
-        upto = int(np.searchsorted(k, k[-1]))
-        yield {c: np.concatenate([*(h.column(c).to_numpy() for h in held), batch.column(c).to_numpy()[:upto]]) for c in columns}
-        held = [batch.slice(upto)]
-    if held:
-        yield {c: np.concatenate([h.column(c).to_numpy() for h in held]) for c in columns}
-
-
-def _possible(r: dict, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether rows i and j can be similar by their sizes and what is left after the shingle they share.
-
-    That is certain at the first shingle that both have, so no similar pair is refused at each of its shingles.
-    """
-    a, b = r["n"][i], r["n"][j]
-    left = np.minimum(a - r["pos"][i], b - r["pos"][j])
-    return (r["id"][i] != r["id"][j]) & (left >= _least_overlap(similarity, a + b))
-
-
-def _pairs(r: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = r["id"][i], r["id"][j]
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-
-def _stars(r: dict, similarity: float):
-    """Of each key's rows one, drawn by key, with each other one."""
-    k = r["k"]
-    order = np.lexsort((_mix((r["id"] ^ k).view(np.uint64)), k))
-    first = np.flatnonzero(np.concatenate(([True], k[order][1:] != k[order][:-1])))
-    i = np.repeat(order[first], np.diff(np.append(first, len(k))))
-    good = _possible(r, i, order, similarity)
-    yield _pairs(r, i[good], order[good])
-
-
-def _all_pairs(r: dict, similarity: float):
-    """All pairs of each key's rows in different components."""
-    order = np.lexsort((r["n"], r["k"]))
-    r = {c: v[order] for c, v in r.items()}
-    at, step, found, size = np.arange(len(order)), 0, [], 0
-    while len(at):
-        step += 1
-        at = at[at + step < len(order)]
-        # sizes ascend: what is too large for a row is so from there on
-        at = at[(r["k"][at] == r["k"][at + step]) & (r["n"][at] >= similarity * r["n"][at + step] - 1e-9)]
-        good = at[(r["root"][at] != r["root"][at + step]) & _possible(r, at, at + step, similarity)]
-        found.append((good, good + step))
-        size += len(good)
-        if size >= _PIECE:
-            yield _pairs(r, *(np.concatenate(x) for x in zip(*found, strict=True)))
-            found, size = [], 0
-    if size:
-        yield _pairs(r, *(np.concatenate(x) for x in zip(*found, strict=True)))
-
-
-def _by_key(rows: DataFrame, pairs, similarity: float) -> DataFrame:
-    columns = rows.columns
-
-    def run(batches):
-        for r in _groups(batches, columns):
-            yield from pairs(r, similarity)
-
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have that Jaccard similarity."""
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    x = x.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= _least_overlap(similarity, len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_text_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of word shingles are alike.
-
-    Documents are linked exactly if their sets have a Jaccard similarity of at least
-    ``similarity``; a component is what links connect.  Each set is posted under its
-    first shingles in an order of all, of which similar sets are bound to share one
-    (prefix filter).  Pairs are verified by their whole sets, in two steps, so that a
-    group of near copies isn't compared all with all: first one document of a posting
-    with the others, then what is still in different components, each with each.
-    Shingles are told apart by hashes of 64 bits, sets of equal documents by 128.
-    Texts without words are alike; rows without an id aren't returned.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-
-    def sets_of(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "hashes"])
-
-    # The order only has to be the same for all; that common shingles come late keeps postings short.
-    total = rows.count()
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // _SAMPLED))) == 0)
-    often = sample.mapInArrow(sets_of, "id long, hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(_COMMON).toPandas()
-    common, counts = often["h"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
-    order = np.argsort(common)
-    common, counts = common[order], counts[order]
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t.as_py(), shingle) for t in part.column("text")]
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
-                first = [_prefix(s, common, counts, similarity).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "high", "low", "n", "first"])
-
-    prints = kept(rows.mapInArrow(run, "doc_id long, high long, low long, n int, first array<long>"), "prints")
-    classes = kept(prints.groupBy("high", "low").agg(F.min("doc_id").alias("least")), "distinct")
-    firsts = prints.join(classes, ["high", "low"]).filter("doc_id = least").select("doc_id", "n", "first").distinct()
-    postings = firsts.select(F.posexplode("first").alias("pos", "k"), F.col("doc_id").alias("id"), "n").select("k", "id", "n", "pos")
-
-    def shared(batches):
-        for r in _groups(batches, ["k", "id", "n", "pos"]):
-            k = r["k"]
-            same = k[1:] == k[:-1]
-            good = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            yield pa.RecordBatch.from_arrays([pa.array(r[c][good]) for c in ("k", "id", "n", "pos")], names=["k", "id", "n", "pos"])
-
-    meets = kept(postings.repartition("k").sortWithinPartitions("k").mapInArrow(shared, "k long, id long, n int, pos int"), "postings")
-    stars = kept(_by_key(meets, _stars, similarity), "stars")
-    wanted = meets.select("id").distinct()
-    sets = kept(rows.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").distinct().mapInArrow(sets_of, "id long, hashes array<long>"), "sets")
-    links = kept(_similar(stars, sets, similarity), "links")
-    roots = connected_components(links)
-    apart = meets.join(roots, F.col("id") == F.col("node"), "left").select("k", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-    rest = kept(_by_key(apart, _all_pairs, similarity).join(stars, ["a", "b"], "left_anti"), "rest")
-    roots = connected_components(links.union(_similar(rest, sets, similarity)))
-    labels = classes.join(roots, F.col("least") == F.col("node"), "left").select("high", "low", F.coalesce("root", "least").alias("component_id"))
-    return prints.select("doc_id", "high", "low").join(labels.hint("merge"), ["high", "low"]).select("doc_id", "component_id")
-
-
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

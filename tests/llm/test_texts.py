@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arcwell.llm import anchors, bpe, components, langid, lempel_ziv, mixing, repeats, simhash, suffixes, toxicity
+from arcwell.llm import anchors, bpe, components, langid, lempel_ziv, mixing, near_texts, repeats, simhash, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, spans string, size string, anchor string, id string"
 
@@ -103,7 +103,7 @@ def test_deduplicated_documents_keep_their_columns_and_whole_characters(spark):
     assert "�" not in "".join(r["text"] or "" for r in rows)
 
 
-@pytest.mark.parametrize("operator", [lempel_ziv.substring_dedup, suffixes.suffix_dedup, simhash.simhash_groups, mixing.mix_sources, mixing.mixed_documents, suffixes.deduplicated, simhash.near_text_groups])
+@pytest.mark.parametrize("operator", [lempel_ziv.substring_dedup, suffixes.suffix_dedup, simhash.simhash_groups, mixing.mix_sources, mixing.mixed_documents, suffixes.deduplicated, near_texts.near_text_groups])
 def test_empty_tables_give_no_rows(spark, operator):
     assert operator(documents(spark, []).filter("false")).count() == 0
 
@@ -207,7 +207,7 @@ def test_near_text_groups_find_copies_and_leave_others(spark):
     near = [t.split() for t in texts[:20]]
     for t in near:
         t[100] = "edited"
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_text_groups(documents(spark, [*texts, *map(" ".join, near), texts[30]])).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_text_groups(documents(spark, [*texts, *map(" ".join, near), texts[30]])).collect()}
     assert sum(got[40 + i] == i for i in range(20)) >= 19 and got[60] == 30 and all(got[i] == i for i in range(40))
 
 
@@ -241,11 +241,35 @@ def test_near_text_groups_are_brute_force(spark):
                 edited[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(edited))
     rng.shuffle(texts)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_text_groups(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_text_groups(documents(spark, texts)).collect()}
     want = plain_near_groups(texts)
     assert [got[i] for i in range(len(texts))] == want and 30 < sum(i != c for i, c in enumerate(want)) < 150
 
 
+def test_near_text_groups_of_frequent_shingles_are_brute_force(spark, monkeypatch):
+    """Salted keys, star rounds and blocks of pairs; copies that differ from their first but not from each other."""
+    monkeypatch.setattr(near_texts, "_SALT", 4)
+    monkeypatch.setattr(near_texts, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words[: rng.choice([120, 110, 95])]))
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_text_groups(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_near_groups(texts)
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, b, "de", "s", 3), (2, b + " more", "en", "s", 4), (2, c, None, None, None), (None, a, "en", "s", 5), (3, None, "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in near_texts.without_near_texts(docs).collect()), key=str)
+    assert got == sorted([(1, a, "en"), (1, b, "de"), (2, c, None), (None, a, "en"), (3, None, "en")], key=str)
+
+
 def test_near_text_groups_link_only_what_is_similar(spark):
     words = [f"w{i}" for i in range(304)]  # 300 shingles
     apart = [list(words) for _ in range(8)]
@@ -253,7 +277,7 @@ def test_near_text_groups_link_only_what_is_similar(spark):
         for at in range(10 + i, 300, 33):  # nine words, 45 shingles: 255 of 345 are shared
             t[at] = f"x{i}"
     texts = [" ".join(words), *map(" ".join, apart), None, "", " \n", *(f"six{i} words are{i} in this{i} text" for i in range(3000))]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_text_groups(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_text_groups(documents(spark, texts)).collect()}
     assert got == {i: i for i in range(len(texts))} | {10: 9, 11: 9}
 
 
