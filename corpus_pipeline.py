@@ -14,7 +14,7 @@ from arcwell.llm.bpe import bpe_round_trip, vocabulary_path
 from arcwell.llm.common import kept, table
 from arcwell.llm.langid import in_known_languages
 from arcwell.llm.mixing import mixed_documents
-from arcwell.llm.simhash import near_text_groups
+from arcwell.llm.near_texts import without_near_texts
 from arcwell.llm.suffixes import deduplicated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,15 +28,10 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies and near copies the document with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without one stay.
+    Candidates come from the SimHash index and, as no fingerprint distance is certain at
+    0.8, from a prefix filter; the shingles themselves decide.  Rows without a doc_id stay.
     """
-    docs = docs.select(*COLUMNS)
-    groups = kept(near_text_groups(docs), "groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    stays = docs.join(gone, "doc_id", "left_anti")
-    if groups.count() > groups.select("doc_id").distinct().count():
-        stays = stays.filter("doc_id is null").union(stays.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return stays.select(*COLUMNS)
+    return without_near_texts(docs.select(*COLUMNS))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
