@@ -2,12 +2,13 @@
 
 The words of each source, document after document, are packed into blocks of a
 fixed number of words.  Every source gets as many output slots as its target
-needs; the slots are dealt to output shards by a seeded draw, which makes each
-shard's counts of sources a multinomial draw conditioned on the exact totals.
-The i-th slot of a source is mapped through a pseudorandom permutation of the
-source's block indexes (a new one each epoch), and slots and blocks are joined by
-index.  A whole epoch takes each block once, so no document is taken more often
-than ``max_repeat`` times and a source meets its target to a block and a half.
+needs.  A seeded draw gives each output shard its counts of sources: multinomial
+ones, conditioned on the exact totals, as every slot falls to a shard at random.
+A shard's slots of a source follow on those of the shards before; the i-th slot of a
+source is mapped through a pseudorandom permutation of the source's block indexes (a
+new one each epoch), and slots and blocks are joined by index.  A whole epoch takes
+each block once, so no document is taken more often than ``max_repeat`` times and a
+source meets its target to a block and a half.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from arcwell.llm.common import WORD, kept, table
 
 #: Documents of a source that one task lays end to end.
 _RUN = 8192
-#: Slots that one row stands for before the second explode.
-_CHUNK = 4096
+#: Slots that one row stands for before the last explode and before the one that comes first, and slots for each task.
+_CHUNK, _FAR, _TASK = 1 << 16, 1 << 28, 1 << 20
 
 
 def _primes(above: int, count: int) -> list[int]:
@@ -82,22 +83,28 @@ def _permuted(i: Column, n: Column, sid: Column, epoch: Column, seed: int) -> Co
     return F.pmod(i * factor + F.pmod(F.xxhash64(draw), n), n)
 
 
+def shard_counts(plan: DataFrame, shard_slots: int, seed: int, tasks: int) -> DataFrame:
+    """The draw: (sid, shard, count, before, n_blocks), before being the source's slots in earlier shards."""
+    # A hot source is as many rows as it has chunks, dealt out before its slots are drawn.
+    far = plan.withColumn("far", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(_FAR).cast("long"))))
+    chunks = far.withColumn("first", F.explode(F.sequence(F.col("far"), F.least(F.col("far") + _FAR, F.col("n_slots")) - 1, F.lit(_CHUNK).cast("long")))).repartition(tasks, "sid", "first")
+    each = chunks.select("sid", "n_blocks", "n_shards", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _CHUNK, F.col("n_slots")) - 1)).alias("k"))
+    drawn = each.groupBy("sid", "n_blocks", F.pmod(F.xxhash64("sid", "k", F.lit(seed)), F.col("n_shards")).alias("shard")).agg(F.count(F.lit(1)).alias("count"))
+    # As many rows a source as there are shards.
+    before = F.sum("count").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return drawn.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
+
+
 def slots(targets: DataFrame, block: int = 32, shard_slots: int = 65536, max_repeat: int = 3, seed: int = 42) -> DataFrame:
     """The mix itself: one row per output slot: shard, sid, epoch, block."""
-    plan = _plan(targets, block, max_repeat)
-    plan = plan.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / F.lit(shard_slots))))
-    plan = plan.filter("n_slots > 0").select("sid", "n_blocks", "n_slots", "n_shards")
-    # A hot source is as many rows as it has chunks, dealt out before the second explode.
-    chunks = plan.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(_CHUNK).cast("long"))))
-    chunks = chunks.repartition("sid", "first")
-    each = chunks.withColumn("k", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _CHUNK, F.col("n_slots")) - 1)))
+    plan = _plan(targets, block, max_repeat).filter("n_slots > 0").select("sid", "n_blocks", "n_slots")
+    total = plan.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // _TASK))
+    plan = plan.withColumn("n_shards", F.lit(max(1, -(-total // shard_slots))).cast("long"))
+    counts = shard_counts(plan, shard_slots, seed, tasks).repartition(tasks, "sid", "shard")
+    each = counts.withColumn("k", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("count") - 1)))
     epoch = F.floor(F.col("k") / F.col("n_blocks")).cast("long")
-    return each.select(
-        F.pmod(F.xxhash64("sid", "k", F.lit(seed)), F.col("n_shards")).alias("shard"),
-        "sid",
-        epoch.alias("epoch"),
-        _permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), epoch, seed).alias("block"),
-    )
+    return each.select("shard", "sid", epoch.alias("epoch"), _permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid"), epoch, seed).alias("block"))
 
 
 def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
