@@ -3,28 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arcwell.scratch import shared_dir
+
 #: Words of a text: runs of anything but the six ASCII white space characters.
 #: ``bytes.split()`` splits UTF-8 text at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+def store(uri: str):
+    """The file system and path of a shared place, for the executors."""
+    from pyarrow import fs
 
-    Only where the session has none (tests, one machine) a temporary folder is
-    made and set as the session's checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="arcwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -43,11 +37,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables and archives below the shared folder.
+
+    For the caller, once the results that read them are written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/arcwell")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

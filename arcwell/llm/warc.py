@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwell.llm.common import kept, scratch_path, table
+from arcwell.llm.common import kept, scratch_path, store, table
 
 SEGMENT_BYTES = 1 << 15
 CHUNK_BYTES = 1 << 13
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that read archives; beyond, a task reads several, one after another.
+MOST_TASKS = 50_000
 #: Shorter payloads aren't worth a revisit record.
 LEAST_REVISIT = 100
 _DATE = "2024-01-01T00:00:00Z"
@@ -34,13 +36,6 @@ _PAGE = "urn:arcwell:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _store(uri: str):
-    """The file system and path of a shared place, for the executors."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
-
-
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
     """A payload in HTTP's chunked transfer framing."""
     parts = [b"%x\r\n%b\r\n" % (len(payload[i : i + size]), payload[i : i + size]) for i in range(0, len(payload), size)]
@@ -68,7 +63,7 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def page_records(page: str, token: str, url: str | None, payload: bytes, refers_to: str | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of one page: a response in as many segments as needed, or a revisit."""
+    """The records of one page: a response in as many segments as needed, or a revisit (of the record refers_to)."""
     me = f"<{_PAGE}{page}:{token}>"
     # What would break a header line is percent-coded.
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
@@ -76,7 +71,7 @@ def page_records(page: str, token: str, url: str | None, payload: bytes, refers_
     common = [("WARC-Record-ID", me), ("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", f"<{_PAGE}{refers_to}>"), ("WARC-Profile", _PROFILE)], head)
+        yield record([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", refers_to), ("WARC-Profile", _PROFILE)], head)
         return
     block = head + chunked(payload)
     if len(block) <= segment:
@@ -115,42 +110,63 @@ def http_payload(block: bytes) -> bytes:
     return unchunked(body) if coded else body
 
 
+_WRITTEN = "path string, records long, page_id string, digest string, record string"
+
+
 def write_archives(pages: DataFrame, to: str, segment: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
-    """Write ``pages`` (page_id string, url, html, refers_to string) below ``to``; returns the archives (path, records).
+    """Write ``pages`` (page_id string, url, html, digest, referred, refers_to string) below ``to``; returns the archives (path, records).
 
-    Every task attempt writes files of its own and only those of attempts that
-    ended are returned, so a task that is run again can't mix with its first run.
+    Responses come first; they tell the ids of the records that others refer to, and these
+    are written next.  Every task attempt writes files of its own and only those of attempts
+    that ended are returned, so a task that is run again can't mix with its first run.
     """
+    columns = ["page_id", "url", "html", "digest", "referred"]
+    first = kept(_written(pages.filter("refers_to is null").select(*columns, F.lit(None).cast("string").alias("record")), to, segment, archive_bytes, level), "responses")
+    # Rows that repeat the response are records of their own; any of them will do.
+    known = first.filter("record is not null").groupBy("page_id", "digest").agg(F.min("record").alias("record"))
+    revisits = pages.filter("refers_to is not null").join(known.select(F.col("page_id").alias("refers_to"), "digest", "record"), ["refers_to", "digest"])
+    second = kept(_written(revisits.select(*columns, "record"), to, segment, archive_bytes, level), "revisits")
+    return first.union(second).filter("path is not null").select("path", "records")
+
+
+def _written(pages: DataFrame, to: str, segment: int, archive_bytes: int, level: int) -> DataFrame:
+    """A row for each archive (path, records) and each record that others refer to (page_id, digest, record)."""
 
     def run(batches):
-        store, root = _store(to)
+        files, root = store(to)
         token, rows, n, out, size, path = uuid.uuid4().hex[:16], 0, 0, None, 0, ""
-        done: list[tuple[str, int]] = []
+        done: list[dict] = []
         count = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, html, refers = (batch.column(k)[i].as_py() for k in range(4))
+                page, url, html, digest, referred, record_id = (batch.column(k)[i].as_py() for k in range(6))
+                page = "" if page is None else page
                 rows += 1
-                for rec in page_records("" if page is None else page, f"{token}-{rows}", url, (html or "").encode(), refers, segment):
+                if referred:
+                    done.append({"page_id": page, "digest": digest, "record": f"<{_PAGE}{page}:{token}-{rows}>"})
+                for rec in page_records(page, f"{token}-{rows}", url, (html or "").encode(), record_id, segment):
                     if out is None or size > archive_bytes:
                         if out is not None:
                             out.close()
-                            done.append((path, count))
+                            done.append({"path": path, "records": count})
                         n, size, count, path = n + 1, 0, 0, f"{root}/{token}-{n:05d}.warc.gz"
-                        store.create_dir(root, recursive=True)
-                        out = store.open_output_stream(path, compression=None)
+                        files.create_dir(root, recursive=True)
+                        out = files.open_output_stream(path, compression=None)
                     member = gzip.compress(rec, level, mtime=0)
                     out.write(member)
                     size += len(member)
                     count += 1
+            yield pa.RecordBatch.from_pylist([d for d in done if "record" in d], schema=_WRITTEN_SCHEMA)
+            done = [d for d in done if "record" not in d]
         if out is not None:
             out.close()
-            done.append((path, count))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([c for _, c in done], pa.int64())], names=["path", "records"])
+            done.append({"path": path, "records": count})
+        yield pa.RecordBatch.from_pylist(done, schema=_WRITTEN_SCHEMA)
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long")
+    return pages.mapInArrow(run, _WRITTEN)
 
 
+_WRITTEN_SCHEMA = pa.schema([("path", pa.string()), ("records", pa.int64()), ("page_id", pa.string()), ("digest", pa.string()), ("record", pa.string())])
 _READ = "page_id string, url string, type string, refers_to string, payload_bytes long, payload_digest string, payload string, origin string, number int, total long, block binary"
 _READ_SCHEMA = pa.schema(
     [(n, pa.string()) for n in ("page_id", "url", "type", "refers_to")] + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
@@ -202,12 +218,12 @@ def read_archives(archives: DataFrame, to: str, keep_payload: bool = False) -> D
     """
 
     def rows_of(batches, of):
-        store, _ = _store(to)
+        files, _ = store(to)
         rows: list[dict] = []
         held = 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path, compression=None) as raw:
+                with files.open_input_stream(path, compression=None) as raw:
                     for f, block in read_records(io.BufferedReader(_Inflated(raw), 1 << 16)):
                         rows.append(of(f, block))
                         held += len(block)
@@ -237,7 +253,9 @@ def read_archives(archives: DataFrame, to: str, keep_payload: bool = False) -> D
                 rows.append({k: first[k] for k in ("page_id", "url", "type")} | _whole({"digest": first["payload_digest"]}, block, keep_payload))
             yield pa.RecordBatch.from_pylist(rows, schema=_READ_SCHEMA)
 
-    found = kept(archives.select("path").repartition("path").mapInArrow(lambda b: rows_of(b, parsed), _READ), "records")
+    # An archive a task; by number, as paths are too few bytes for Spark to tell how much they stand for.
+    tasks = min(max(1, archives.count()), MOST_TASKS)
+    found = kept(archives.select("path").repartition(tasks).mapInArrow(lambda b: rows_of(b, parsed), _READ), "records")
     plain = found.filter("origin is null").select("page_id", "url", "type", "refers_to", "payload_bytes", "payload_digest", "payload")
     # A record is one page long, so its segments are a bounded group.
     parts = found.filter("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "block", "page_id", "url", "type", "payload_digest")).alias("parts"))
@@ -252,7 +270,7 @@ def read_archives(archives: DataFrame, to: str, keep_payload: bool = False) -> D
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, html, refers_to), ids as strings: which pages revisit which.
+    """(page_id, url, html, digest, referred, refers_to), ids as strings: which pages revisit which.
 
     Among equal payloads of at least ``least_bytes`` bytes the smallest page_id is
     the response; a row that has that id itself is a response too, and rows
@@ -265,7 +283,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFra
     again = rows.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("least"), F.max("page_id").alias("most")).filter("least < most").select("digest", "least")
     rows = rows.join(kept(again, "repeated"), "digest", "left")
     refers = F.when(F.col("least") < F.col("page_id"), F.col("least"))
-    return rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", refers.cast("string").alias("refers_to"))
+    referred = F.coalesce(F.col("least") == F.col("page_id"), F.lit(False))
+    return rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", referred.alias("referred"), refers.cast("string").alias("refers_to"))
 
 
 def warc_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES, keep_payload: bool = False) -> DataFrame:
@@ -275,7 +294,7 @@ def warc_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES, keep_payload
     are records of their own.  One row per row of ``pages``.
     """
     to = scratch_path(pages.sparkSession, "warc")
-    archives = kept(write_archives(with_revisits(pages), to, segment), "archives")
+    archives = write_archives(with_revisits(pages), to, segment)
     found = read_archives(archives, to, keep_payload)
     return found.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "payload")
 
