@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from arcwell.llm.common import kept, table
 from arcwell.llm.components import connected_components
-from arcwell.llm.vectors import kmeans, matrix, sample, unit, valid
+from arcwell.llm.vectors import kmeans, matrix, of_one_length, sample, unit, valid, with_vectors
 
 #: Vectors or visitors of a cell that one task compares at once.
 BLOCK = 2048
@@ -133,11 +133,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
 
     Vectors with the same label and a cosine of at least ``threshold`` are linked.
     Null labels, and vectors that are null, empty, zero or hold null or non-finite
-    components, link with nothing.  Rows that repeat a vec_id count as vectors;
+    components, link with nothing, nor do those whose length isn't the commonest (the longer
+    of equally common ones).  Rows that repeat a vec_id count as vectors;
     rows without one are returned as components of their own, with a null id.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").alias("label"))
-    usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("embedding")))
+    rows = with_vectors(vectors, F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"))
+    usable = of_one_length(rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("embedding"))))
     classes = kept(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     total = classes.count()
@@ -155,8 +156,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataF
                 arrays = [batch.column(n).take(take) for n in ("label", "rep", "n", "embedding")]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(cells).astype(np.int32)), pa.array(own)], names=["label", "rep", "n", "embedding", "cell", "own"])
 
-        kind = dict(classes.dtypes)["label"]
-        visits = kept(classes.select("label", "rep", "n", "embedding").mapInArrow(visit, f"label {kind}, rep long, n long, embedding array<double>, cell int, own boolean"), "visits")
+        kinds = dict(classes.dtypes)
+        visits = kept(classes.select("label", "rep", "n", "embedding").mapInArrow(visit, f"label {kinds['label']}, rep long, n long, embedding {kinds['embedding']}, cell int, own boolean"), "visits")
         plan = visits.groupBy("label", "cell").agg(F.ceil(F.sum(F.col("own").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups")).filter("blocks > 0")
         dealt = visits.join(plan, ["label", "cell"])
         cols = ["label", "cell", "rep", "n", "embedding"]

@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 MAX_SAMPLE = 8192
 
 
+def with_vectors(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` and embedding, as floats if it has floats, else as doubles."""
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    return rows.select(*columns, F.col("embedding").cast(kind).alias("embedding"))
+
+
+def of_one_length(rows: DataFrame) -> DataFrame:
+    """``rows`` whose embedding has the commonest length, the longer one of equally common ones."""
+    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n"))
+    most = sizes.first()
+    return rows if most is None else rows.filter(F.size("embedding") == most["n"])
+
+
 def valid(embedding: Column) -> Column:
     """Whether a vector takes part: not null or empty, finite throughout, not zero."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -19,11 +32,13 @@ def valid(embedding: Column) -> Column:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long lists as rows of doubles."""
+    """A column of equally long lists as rows of doubles; ValueError if they aren't."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return np.empty((0, 0))
+    if len(set(column.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors of different lengths")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 

@@ -6,6 +6,7 @@ import io
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,7 +147,7 @@ def test_archives_give_the_pages_back(spark):
 def test_records_cross_archives(spark, monkeypatch):
     to = warc.scratch_path(spark, "test-warc")
     p = warc.with_revisits(pages(spark, [(i, "u", chr(97 + i) * 40_000) for i in range(4)]))
-    archives = warc.kept(warc.write_archives(p, to, segment=3000, archive_bytes=200), "archives")
+    archives = warc.write_archives(p, to, segment=3000, archive_bytes=200)
     assert archives.count() > 8
     got = warc.read_archives(archives, to).collect()
     assert sorted((int(r["page_id"]), r["payload_bytes"]) for r in got) == [(i, 40_000) for i in range(4)]
@@ -154,6 +155,27 @@ def test_records_cross_archives(spark, monkeypatch):
         warc.read_archives(archives.orderBy("path").limit(archives.count() - 1), to).collect()
 
 
+def test_revisits_name_a_record_that_is_there(spark):
+    to = warc.scratch_path(spark, "test-warc")
+    rows = [(i, "u", "same payload " * 20) for i in (5, 2, 2, 9)] + [(1, "u", "other")]
+    archives = warc.write_archives(warc.with_revisits(pages(spark, rows)), to).collect()
+    files, _ = warc.store(to)
+    found = [f for a in archives for f, _ in warc.read_records(io.BufferedReader(warc._Inflated(files.open_input_stream(a["path"], compression=None))))]
+    ids = {f["warc-record-id"]: f["warc-type"] for f in found}
+    assert len(ids) == len(found) == 5 and sum(a["records"] for a in archives) == 5
+    assert [ids[f["warc-refers-to"]] for f in found if f["warc-type"] == "revisit"] == ["response"] * 2
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    df = embeddings(spark, [[1.0, 0.0], [1.0, 0.01], [1.0], [1.0, 0.0, 0.0], [0.9, 0.0]], [1] * 5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicate_vectors(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (0, 3), 4: (2, 0)}
+    found = ann.nearest_neighbours(df, F.col("vec_id") >= 0).collect()
+    assert {r["query_id"] for r in found} == {r["vec_id"] for r in found} == {0, 1, 4}
+    with pytest.raises(ValueError):
+        vectors.matrix(pa.array([[1.0], [2.0, 3.0], [4.0, 5.0, 6.0]]))
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 40))
 def test_chunked_framing(payload, size):
