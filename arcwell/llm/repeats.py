@@ -4,10 +4,12 @@
    common anchor, 1 for about 40 bytes or 15 words.
 2. Stretches meet by anchor.  Equal stretches are one class, represented by its
    first place; only classes whose anchor has other classes need a comparison.
+   Anchors that a bounded sample of documents has often go another way with the same
+   result: their classes are aggregated before they are shuffled, and joined back.
 3. Representatives are read from their documents and compared in collections: all
-   of an anchor's, several anchors to a collection.  An anchor with more classes
-   than a collection may hold is split by the content of its windows, which keeps
-   equal windows together, so memory is bounded whatever the corpus repeats.
+   of an anchor's, several anchors to a collection.  An anchor with too many classes
+   for a collection gives its single windows instead, which are aggregated by content, so
+   memory is bounded whatever the corpus repeats.
 4. What copies and comparisons mark is gathered by document and taken out.
 
 A place is a document's id and a long: in its high half a hash of the text where
@@ -26,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcwell.llm.anchors import Spans, byte_codes, mix, stretches
+from arcwell.llm.anchors import Spans, byte_codes, stretches
 from arcwell.llm.common import kept
 
 #: Texts cut at once.
 _TEXTS = 256
-#: Symbols of a collection, and classes of an anchor beyond which it is split.
+#: Symbols of a collection, and classes of an anchor beyond which its windows are aggregated.
 COLLECTION, MOST_CLASSES = 1 << 21, 1 << 12
+#: Documents of the sample that shows which anchors are hot, and how often these are in it.
+SAMPLED, HOT = 20_000, 64
 _LOW = 1 << 32
 
 
@@ -84,11 +88,30 @@ def _cut(texts: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFram
     return texts.select("doc_id", "version", "text").mapInArrow(run, "anchor long, class long, doc_id long, at long")
 
 
-def _marked(cuts: DataFrame, all_copies: bool) -> DataFrame:
+def _hot(texts: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
+    """(anchor) of those that the sample has often: as few as it has stretches for, whatever the corpus.
+
+    It only says which way an anchor's stretches go, not what comes of it.
+    """
+    share = F.lit(max(1, texts.count() // SAMPLED))
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), share) == 0)
+    return _cut(sample, symbols, window, gram).groupBy("anchor").count().filter(F.col("count") >= HOT).select("anchor")
+
+
+def _marked(cuts: DataFrame, hot: DataFrame, all_copies: bool) -> DataFrame:
     """(doc_id, at, n, copy, anchor): stretches that are copies, and representatives to compare (with their anchor).
 
     Copies are all places of a class that has several, or all but the first.
     """
+    hot = F.broadcast(hot)  # bounded by the sample
+    often = kept(cuts.join(hot, "anchor"), "hot")
+    rows = _by_window(cuts.join(hot, "anchor", "left_anti"), all_copies).unionByName(_by_aggregate(often, all_copies))
+    compare = F.col("is_first") & F.col("several")
+    rows = rows.filter(F.col("copy") | compare)
+    return rows.select("doc_id", "at", F.col("class").bitwiseAND(F.lit(0xFF)).cast("int").alias("n"), "copy", F.when(compare, F.col("anchor")).alias("anchor"))
+
+
+def _by_window(cuts: DataFrame, all_copies: bool) -> DataFrame:
     by_anchor = Window.partitionBy("anchor").orderBy("class", "doc_id", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_class = Window.partitionBy("anchor", "class").orderBy("doc_id", "at")
     place = F.struct("doc_id", "at")
@@ -96,50 +119,66 @@ def _marked(cuts: DataFrame, all_copies: bool) -> DataFrame:
     copy = first != place
     if all_copies:
         copy = first != F.last(place).over(by_class.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = cuts.select("*", copy.alias("copy"), (first == place).alias("is_first"), (F.first("class").over(by_anchor) != F.last("class").over(by_anchor)).alias("several"))
-    compare = F.col("is_first") & F.col("several")
-    rows = rows.filter(F.col("copy") | compare)
-    return rows.select("doc_id", "at", F.col("class").bitwiseAND(F.lit(0xFF)).cast("int").alias("n"), "copy", F.when(compare, F.col("anchor")).alias("anchor"))
+    several = F.first("class").over(by_anchor) != F.last("class").over(by_anchor)
+    return cuts.select("*", copy.alias("copy"), (first == place).alias("is_first"), several.alias("several"))
 
 
-def _read(texts: DataFrame, reps: DataFrame, symbols: Symbols, window: int) -> DataFrame:
-    """(key, doc_id, at, copy, symbols) of representatives, split where an anchor has many."""
-    many = kept(reps.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > MOST_CLASSES).withColumn("splits", F.ceil(F.col("classes") / MOST_CLASSES).cast("int")).drop("classes"), "hot")
-    wanted = reps.join(many, "anchor", "left").select("doc_id", F.shiftright("at", 32).cast("int").alias("version"), F.struct("anchor", F.col("at").bitwiseAND(F.lit(_LOW - 1)).alias("start"), "n", "copy", F.coalesce("splits", F.lit(1)).alias("splits")).alias("rep"))
+def _by_aggregate(cuts: DataFrame, all_copies: bool) -> DataFrame:
+    """The same, with what is aggregated on the map side and joins that Spark can split."""
+    classes = kept(cuts.groupBy("anchor", "class").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("places")), "classes")
+    several = classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    classes = classes.join(F.broadcast(several), "anchor")  # as many anchors as the sample shows to be hot
+    rows = cuts.join(classes, ["anchor", "class"])
+    is_first = F.col("first") == F.struct("doc_id", "at")
+    copy = F.col("places") > 1 if all_copies else ~is_first
+    return rows.select(*cuts.columns, copy.alias("copy"), is_first.alias("is_first"), "several")
+
+
+def _with_text(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, version, text, reps) of documents that have representatives."""
+    wanted = reps.select("doc_id", F.shiftright("at", 32).cast("int").alias("version"), F.struct("anchor", F.col("at").bitwiseAND(F.lit(_LOW - 1)).alias("start"), "n", "copy").alias("rep"))
     by_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list("rep").alias("reps"))  # as many as a document has stretches at most
-    joined = texts.join(by_doc, ["doc_id", "version"])
+    return texts.join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "reps")
+
+
+def _reps_of(batch: pa.RecordBatch, i: int, symbols: Symbols) -> tuple[int, int, np.ndarray, list[np.ndarray]]:
+    doc_id, version, text = (batch.column(k)[i].as_py() for k in range(3))
+    reps = batch.column(3)[i].values
+    return doc_id, version, symbols.pack(text.encode()), [reps.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+
+
+def _read(texts: DataFrame, reps: DataFrame, symbols: Symbols, window: int) -> DataFrame:
+    """(key, doc_id, at, copy, symbols) of representatives; the key is the anchor."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_id, version, own, (anchor, start, n, copy) = _reps_of(batch, i, symbols)
+                pieces = [own[a : a + k + window - 1].tobytes() for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+                arrays = [pa.array(anchor), pa.array(np.full(len(start), doc_id)), pa.array(version * _LOW + start), pa.array(copy.astype(bool)), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "at", "copy", "symbols"])
+
+    return _with_text(texts, reps).mapInArrow(run, "key long, doc_id long, at long, copy boolean, symbols binary")
+
+
+def _repeated_windows(texts: DataFrame, reps: DataFrame, symbols: Symbols, window: int, all_copies: bool) -> DataFrame:
+    """(doc_id, at, length) of representatives' windows that occur again, aggregated by content."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_id, version, text = (batch.column(k)[i].as_py() for k in range(3))
-                own = symbols.pack(text.encode())
-                reps = batch.column(3)[i].values
-                fields = [reps.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for anchor, start, n, copy, splits in zip(*fields, strict=True):
-                    piece = own[start : start + n + window - 1]
-                    if splits == 1:
-                        out[0].append(int(anchor))
-                        out[1].append(int(start))
-                        out[2].append(bool(copy))
-                        out[3].append(piece.tobytes())
-                        continue
-                    codes = piece if symbols.words else byte_codes()[piece]
-                    at = np.arange(n)
-                    share = Spans(codes)(at, at + window) % np.uint64(splits)
-                    keys = mix(np.uint64(anchor) ^ (mix(share + np.uint64(1)))).view(np.int64)
-                    for k in range(n):
-                        out[0].append(int(keys[k]))
-                        out[1].append(int(start) + k)
-                        out[2].append(bool(copy))
-                        out[3].append(piece[k : k + window].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array([doc_id] * len(out[0]), pa.int64()), pa.array([version * _LOW + s for s in out[1]], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.binary())],
-                    names=["key", "doc_id", "at", "copy", "symbols"],
-                )
-
-    return joined.select("doc_id", "version", "text", "reps").mapInArrow(run, "key long, doc_id long, at long, copy boolean, symbols binary")
+                doc_id, version, own, (anchor, start, n, _) = _reps_of(batch, i, symbols)
+                at = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                content = Spans(own if symbols.words else byte_codes()[own])(at, at + window)
+                arrays = [pa.array(np.repeat(anchor, n)), pa.array(content.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(version * _LOW + at)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "content", "doc_id", "at"])
+
+    rows = kept(_with_text(texts, reps).mapInArrow(run, "anchor long, content long, doc_id long, at long"), "windows")
+    again = rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1")
+    found = rows.join(again, ["anchor", "content"])
+    if not all_copies:
+        found = found.filter(F.col("first") != F.struct("doc_id", "at"))
+    return found.select("doc_id", "at", F.lit(window).alias("length"))
 
 
 @dataclass
@@ -153,7 +192,7 @@ class Collection:
 
 
 def _collections(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Collection]:
-    """Consecutive keys as collections; a key is never divided."""
+    """Consecutive keys as collections; a key has ``MOST_CLASSES`` strings at most and isn't divided."""
     held: list[tuple] = []
     size, last = 0, None
     for batch in batches:
@@ -181,10 +220,12 @@ def repeated_spans(
     ``compare`` gets a collection and returns string index, start and length (in
     symbols, from the string's begin) of what it marks.
     """
-    marks = kept(_marked(_cut(texts, symbols, window, gram), all_copies), "marks")
+    hot = kept(_hot(texts, symbols, window, gram), "anchors")
+    marks = kept(_marked(_cut(texts, symbols, window, gram), hot, all_copies), "marks")
     copies = marks.filter("copy").select("doc_id", "at", (F.col("n") + window - 1).alias("length"))
     reps = marks.filter("anchor is not null").select("doc_id", "at", "n", "copy", "anchor")
-    found = _read(texts, reps, symbols, window).repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    many = kept(reps.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).filter(F.col("classes") > MOST_CLASSES).select("anchor"), "many")
+    found = _read(texts, reps.join(many, "anchor", "left_anti"), symbols, window).repartition("key").sortWithinPartitions("key", "doc_id", "at")
 
     def run(batches):
         for c in _collections(batches, 8 if symbols.words else 1):
@@ -192,7 +233,7 @@ def repeated_spans(
             yield pa.RecordBatch.from_arrays([pa.array(c.doc_id[which]), pa.array(c.at[which] + start), pa.array(length.astype(np.int32))], names=["doc_id", "at", "length"])
 
     compared = found.mapInArrow(run, "doc_id long, at long, length int")
-    spans = copies.union(compared)
+    spans = copies.union(compared).union(_repeated_windows(texts, reps.join(many, "anchor"), symbols, window, all_copies))
     start = F.col("at").bitwiseAND(F.lit(_LOW - 1))
     return spans.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("version")).agg(F.collect_list(start * 65536 + F.col("length")).alias("spans"))
 

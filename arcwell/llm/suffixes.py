@@ -5,7 +5,7 @@ a column at a time: each round puts one more symbol before every string's last
 suffix.  Where the new suffixes go follows from the transform alone (they are the
 occurrences of their first symbol, in order), and a new common prefix is one more
 than the least between the occurrences before it.  Both sequences are kept in
-files that every round reads and writes from end to end.
+files of the shared folder that every round reads and writes from end to end, in pieces.
 
 Equal windows are then neighbours: groups of suffixes whose common prefixes are
 at least a window.  The first place of a group stays, the others are taken out.
@@ -14,8 +14,7 @@ at least a window.  The first place of a group stays, the others are taken out.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-from pathlib import Path
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +22,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwell.llm.anchors import Spans, byte_codes
-from arcwell.llm.common import table
+from arcwell.llm.common import scratch_path, store, table
 from arcwell.llm.repeats import Collection, Symbols, covered, with_spans
 
 WINDOW, GRAM = 100, 32
+#: Bytes of a file that are read or written at once.
+_PIECE = 1 << 20
 
 
 class _Files:
-    """Two sequences of bytes in files; a round reads one pair and writes the next."""
+    """Two sequences of bytes in a file; a round reads one from end to end and writes the next.
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
+    In a folder of its own below the shared one, so attempts of a task don't meet; without a
+    folder the sequences stay in memory.
+    """
+
+    def __init__(self, folder: str | None):
+        self.store, self.root, self.turn, self.held = None, "", 0, None
+        if folder is not None:
+            self.store, self.root = store(f"{folder}/{uuid.uuid4().hex}")
+            self.store.create_dir(self.root, recursive=True)
 
     def put(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        bwt.tofile(self.folder / "bwt")
-        lcp.tofile(self.folder / "lcp")
+        if self.store is None:
+            self.held = (bwt, lcp)
+            return
+        self.turn += 1
+        with self.store.open_output_stream(f"{self.root}/{self.turn % 2}", compression=None) as out:
+            for sequence in (bwt, lcp):
+                for at in range(0, len(sequence), _PIECE):
+                    out.write(sequence[at : at + _PIECE])
 
     def get(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.folder / "bwt", np.uint8), np.fromfile(self.folder / "lcp", np.uint8)
+        if self.store is None:
+            return self.held
+        with self.store.open_input_stream(f"{self.root}/{self.turn % 2}", compression=None) as file:
+            data = bytearray()
+            while piece := file.read(_PIECE):
+                data += piece
+        both = np.frombuffer(data, np.uint8)
+        return both[: len(both) // 2], both[len(both) // 2 :]
+
+    def close(self) -> None:
+        if self.store is not None:
+            self.store.delete_dir(self.root)
 
 
 def _least(lcp: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -54,7 +79,7 @@ def _least(lcp: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-def collection_bwt(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def collection_bwt(strings: list[np.ndarray], folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Transform and common prefixes of all suffixes of byte strings of 254 bytes at most.
 
     A string's end sorts before every symbol, ends in the order of the strings.
@@ -71,14 +96,15 @@ def collection_bwt(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if len(used) > 255:
         raise ValueError("a collection may have 255 different bytes at most")
     flat = (dense + 1).astype(np.uint8)
-    with tempfile.TemporaryDirectory() as folder:
-        files = _Files(folder)
+    files = _Files(folder)
+    try:
         files.put(np.zeros(n, np.uint8), np.zeros(n, np.uint8))
         place = np.arange(n)  # where each string's last suffix is
         live = np.arange(n)
         for column in range(1, int(sizes.max(initial=0)) + 1):
             live = live[sizes[live] >= column]
             bwt, lcp = files.get()
+            bwt = bwt.copy()
             new = np.zeros(len(bwt), bool)
             bwt[place[live]] = flat[ends[live] - column]
             new[place[live]] = True
@@ -103,6 +129,8 @@ def collection_bwt(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
                 out_lcp[n] = 0
             files.put(out_bwt, out_lcp)
         return files.get()
+    finally:
+        files.close()
 
 
 def suffix_places(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,21 +165,21 @@ def sharing(strings: list[bytes], window: int) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-def later_windows(c: Collection, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later_windows(c: Collection, window: int = WINDOW, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What of a collection's strings is covered by windows that also start earlier: string, start and length."""
     some = sharing(c.strings, window)
     if not len(some):
         return some, some, some
-    which, start, length = _later(Collection(c.doc_id[some], c.at[some], c.copy[some], [c.strings[i] for i in some]), window)
+    which, start, length = _later(Collection(c.doc_id[some], c.at[some], c.copy[some], [c.strings[i] for i in some]), window, folder)
     return some[which], start, length
 
 
-def _later(c: Collection, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(c: Collection, window: int, folder: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     strings = [np.frombuffer(s, np.uint8) for s in c.strings]
     if len(np.unique(np.concatenate(strings))) > 255:
         return _halves(c, window)
     sizes = np.array([len(s) for s in strings], np.int64)
-    bwt, lcp = collection_bwt(strings)
+    bwt, lcp = collection_bwt(strings, folder)
     string, length = suffix_places(bwt, sizes)
     group = np.cumsum(lcp < window)
     good = np.flatnonzero(length >= window)
@@ -190,7 +218,8 @@ def _halves(c: Collection, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def later_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, spans, carried columns): what byte windows of each text also start earlier."""
-    return with_spans(docs, Symbols(False), window, gram, lambda c: later_windows(c, window), all_copies=False, carry=carry)
+    folder = scratch_path(docs.sparkSession, "transforms")
+    return with_spans(docs, Symbols(False), window, gram, lambda c: later_windows(c, window, folder), all_copies=False, carry=carry)
 
 
 def kept_bytes(text: str | None, spans) -> tuple[bytes, np.ndarray]:
