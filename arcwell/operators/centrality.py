@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from arcwell.scratch import cut
 
-#: Rounds after which a loop's lineage is cut.
-_CUT = 5
-
-
 def raw_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
     counts = ends.groupBy(F.col("x.id").alias("id")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"))
@@ -47,7 +43,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     Stops at an L1 change of ``tolerance``, after ``iterations`` rounds at the
     latest; ``fixed`` runs them all without looking at the change.  The links are
-    counted once by pair of nodes; a round is one join and one aggregation.
+    counted once by pair of nodes; a round is one join and one aggregation over a written
+    table, so plans don't grow.
     """
     n = nodes.count()
     if not n:
@@ -56,14 +53,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     links = cut(edges.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("k")).join(out, "from_id").select("from_id", "to_id", (F.col("k") / F.col("out")).alias("share")))
     nodes = cut(nodes.select("id").join(out, F.col("id") == F.col("from_id"), "left").select("id", F.col("out").isNull().alias("dangling")))
     ranks = nodes.withColumn("score", F.lit(1.0 / n))
-    for i in range(1, iterations + 1):
+    for _ in range(iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("lost"))
         given = links.join(ranks, F.col("from_id") == F.col("id")).groupBy("to_id").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         new = ranks.select("id", "dangling", F.col("score").alias("was")).join(given, F.col("id") == F.col("to_id"), "left").crossJoin(F.broadcast(lost))  # one row
         score = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        new = new.select("id", "dangling", score.alias("score"), "was")
-        if i % _CUT == 0 or not fixed:
-            new = cut(new)
+        new = cut(new.select("id", "dangling", score.alias("score"), "was"))
         ranks = new.drop("was")
         if not fixed and new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] <= tolerance:
             break

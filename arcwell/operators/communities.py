@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcwell.scratch import cut
+
 #: Edges that moving nodes on the driver may have.
 MAX_EDGES = 10_000_000
 
@@ -61,13 +63,15 @@ def communities(nodes: DataFrame, edges: DataFrame, weight: str | None = None, r
     """(id, community): local moves, splitting of what isn't connected, and aggregation, by level.
 
     Modularity is the directed one.  Deterministic for a seed; communities are
-    connected and numbered by their first node.  The edges go to the driver, up to
-    ``MAX_EDGES``.
+    connected and numbered by their first node.  The edges and ids go to the driver, up to
+    ``MAX_EDGES`` each; beyond, ValueError.
     """
     rows = edges.groupBy("from_id", "to_id").agg(F.sum(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).limit(MAX_EDGES + 1).toPandas()
     if len(rows) > MAX_EDGES:
         raise ValueError("too many edges")
-    ids = sorted(r["id"] for r in nodes.select("id").collect())
+    ids = sorted(nodes.select("id").limit(MAX_EDGES + 1).toArrow().column(0).to_pylist())
+    if len(ids) > MAX_EDGES:
+        raise ValueError("too many nodes")
     part = {v: v for v in ids}
     arcs = list(zip(rows["from_id"].tolist(), rows["to_id"].tolist(), rows["w"].tolist(), strict=True))
     arcs.sort()
@@ -132,31 +136,53 @@ def community_metrics(members: DataFrame, edges: DataFrame, weight: str | None =
     )
 
 
-def predict_links(nodes: DataFrame, edges: DataFrame, members: DataFrame | None = None, min_common: int = 1, limit: int = 100, weights: tuple[float, ...] = (1.0, 1.5, 1.5, 0.25, 1.0)) -> DataFrame:
-    """The likeliest missing links (a < b): common neighbours, Jaccard, Adamic-Adar, attachment, affinity.
+class CandidateLimit(ValueError):
+    """More candidate pairs than allowed."""
+
+
+def predict_links(
+    nodes: DataFrame, edges: DataFrame, members: DataFrame | None = None, min_common: int = 1, limit: int = 100, weights: tuple[float, ...] = (1.0, 1.5, 1.5, 0.25, 1.0),
+    directed: bool = False, scope: str = "all", max_pairs: int | None = None, min_confidence: float = 0.0,
+) -> DataFrame:
+    """The likeliest missing links (a, b): common neighbours, Jaccard, Adamic-Adar, attachment, affinity.
 
-    Candidates have at least ``min_common`` (1 or more) common neighbours and no
-    link either way.  Confidence is the weighted mean of the measures over their
-    largest values; ties go to the smaller ids.
+    Candidates have at least ``min_common`` (1 or more) common neighbours and no link; undirected
+    ones a < b and no link either way, directed ones what a leads to and what leads to b in
+    common.  With ``members`` (id, community), ``scope`` same or across keeps pairs within or
+    between communities.  Beyond ``max_pairs`` candidates ``CandidateLimit`` is raised.
+    Confidence is the weighted mean of the measures over their largest values; ties go to the
+    smaller ids.  Wedges at a hub are as many as the square of its links: that is the work.
     """
     if min_common < 1:
         raise ValueError("candidates come from common neighbours; ask for at least one")
-    links = edges.filter("from_id <> to_id").select(F.col("from_id").alias("v"), F.col("to_id").alias("u"))
-    links = links.union(links.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    degree = links.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
-    near = links.join(degree.select(F.col("v").alias("u"), F.col("d").alias("du")), "u")
-    x, y = near.select(F.col("u").alias("m"), "du", F.col("v").alias("a")), near.select(F.col("u").alias("m"), F.col("v").alias("b"))
-    pairs = x.join(y, "m").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("du") > 1, 1 / F.log("du")).otherwise(0.0)).alias("adamic_adar")).filter(F.col("common") >= min_common)
-    pairs = pairs.join(links.select(F.col("v").alias("a"), F.col("u").alias("b")), ["a", "b"], "left_anti")
-    pairs = pairs.join(degree.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    if scope not in ("all", "same", "across") or (scope != "all" and members is None):
+        raise ValueError("a scope is all, same or across, and needs communities")
+    out = edges.select(F.col("from_id").alias("v"), F.col("to_id").alias("u")).distinct()
+    into = out.select(F.col("u").alias("v"), F.col("v").alias("u"))
+    if not directed:
+        out = into = out.union(into).distinct()
+    n_out, n_in = (x.groupBy("v").agg(F.count(F.lit(1)).alias("d")) for x in (out, into))
+    # How many links a common neighbour has: those out of and into it, or just its links.
+    evidence = n_out.union(n_in).groupBy("v").agg(F.sum("d").alias("d")) if directed else n_out
+    near = into.select(F.col("v").alias("m"), F.col("u").alias("a")).join(evidence.select(F.col("v").alias("m"), F.col("d").alias("du")), "m")
+    pairs = near.join(out.select(F.col("v").alias("m"), F.col("u").alias("b")), "m").filter("a <> b" if directed else "a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("du") > 1, 1 / F.log("du")).otherwise(0.0)).alias("adamic_adar")).filter(F.col("common") >= min_common)
+    pairs = pairs.join(out.select(F.col("v").alias("a"), F.col("u").alias("b")), ["a", "b"], "left_anti")
+    pairs = pairs.join(n_out.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(n_in.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
     pairs = pairs.withColumns({"jaccard": F.col("common") / (F.col("da") + F.col("db") - F.col("common")), "attachment": (F.col("da") * F.col("db")).cast("double")})
     if members is None:
         pairs = pairs.withColumn("affinity", F.lit(0.0))
     else:
         pairs = pairs.join(members.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a", "left").join(members.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b", "left")
         pairs = pairs.withColumn("affinity", F.coalesce((F.col("ca") == F.col("cb")).cast("double"), F.lit(0.0)))
+        if scope != "all":
+            pairs = pairs.filter(F.col("affinity") == (1.0 if scope == "same" else 0.0))
+    if max_pairs is not None:
+        pairs = cut(pairs)
+        if (n := pairs.count()) > max_pairs:
+            raise CandidateLimit(f"{n} candidate pairs, {max_pairs} allowed")
     measures = ("common", "jaccard", "adamic_adar", "attachment", "affinity")
     tops = pairs.agg(*[F.max(m).alias(f"top_{m}") for m in measures])
     pairs = pairs.crossJoin(F.broadcast(tops))  # one row
     score = sum((F.when(F.col(f"top_{m}") > 0, F.col(m) / F.col(f"top_{m}")).otherwise(0.0) * w for m, w in zip(measures, weights, strict=True)), F.lit(0.0)) / sum(weights)
-    return pairs.select("a", "b", *measures, F.round(score, 12).alias("confidence")).orderBy(F.desc("confidence"), "a", "b").limit(limit)
+    return pairs.select("a", "b", *measures, F.round(score, 12).alias("confidence")).filter(F.col("confidence") >= min_confidence).orderBy(F.desc("confidence"), "a", "b").limit(limit)

@@ -6,6 +6,8 @@ valid_to (null: open) and, for edges, from_id and to_id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +20,31 @@ def _latest(h: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
     return h.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")
 
 
-def _active(h: DataFrame) -> DataFrame:
-    return h.filter(~F.col("operation_kind").isin(DELETED, DISCONNECTED))
+@dataclass(frozen=True)
+class Ending:
+    """Which operations end what they are about; others leave it active."""
+
+    disconnected_edges: bool = True
+    deleted_edges: bool = True
+    deleted_nodes: bool = True
+
+
+def _active(h: DataFrame, ending: Ending = Ending()) -> DataFrame:
+    kind = F.col("operation_kind")
+    edge = F.coalesce("is_edge", F.lit(False)) if "is_edge" in h.columns else F.lit(False)
+    deleted = F.when(edge, F.lit(ending.deleted_edges)).otherwise(F.lit(ending.deleted_nodes))
+    return h.filter(~((kind == DELETED) & deleted | (kind == DISCONNECTED) & F.lit(ending.disconnected_edges)))
 
 
-def current(h: DataFrame, keys: tuple[str, ...] = ENTITY) -> DataFrame:
+def current(h: DataFrame, keys: tuple[str, ...] = ENTITY, ending: Ending = Ending()) -> DataFrame:
     """Each entity's latest envelope (open ones first among equals), unless that ended it."""
-    return _active(_latest(h, keys, F.desc("captured_at"), F.col("valid_to").isNotNull(), F.desc("valid_from")))
+    return _active(_latest(h, keys, F.desc("captured_at"), F.col("valid_to").isNotNull(), F.desc("valid_from")), ending)
 
 
-def as_of(h: DataFrame, instant, keys: tuple[str, ...] = ENTITY) -> DataFrame:
+def as_of(h: DataFrame, instant, keys: tuple[str, ...] = ENTITY, ending: Ending = Ending()) -> DataFrame:
     """As ``current``, of what was captured until an instant, which is stamped on the rows."""
     instant = F.lit(instant).cast("timestamp")
-    return current(h.filter(F.col("captured_at") <= instant), keys).withColumn("query_as_of", instant)
+    return current(h.filter(F.col("captured_at") <= instant), keys, ending).withColumn("query_as_of", instant)
 
 
 def between(h: DataFrame, begin, end) -> DataFrame:
@@ -65,13 +79,34 @@ def envelopes_of_changes(changes: DataFrame, captured_at: Column) -> DataFrame:
     return changes.select("entity_type", "entity_id", captured_at.alias("captured_at"), each.alias("e")).select("entity_type", "entity_id", "captured_at", "e.*")
 
 
-def temporal_hop(sources: DataFrame, edges: DataFrame, nodes: DataFrame, instant, outgoing: bool = True) -> DataFrame:
-    """From source envelopes over the edges active at an instant to the nodes active then."""
+def _as_of_each(h: DataFrame, wanted: DataFrame, ending: Ending) -> DataFrame:
+    """Of entities (entity_type, entity_id, instant) what was active at their instant, which is kept with it."""
+    w = wanted.select(*[F.col(k).alias(f"w_{k}") for k in ENTITY], "instant").distinct()
+    rows = h.join(w, (F.col("entity_type") == F.col("w_entity_type")) & (F.col("entity_id") == F.col("w_entity_id")) & (F.col("captured_at") <= F.col("instant")))
+    latest = _latest(rows.drop("w_entity_type", "w_entity_id"), (*ENTITY, "instant"), F.desc("captured_at"), F.col("valid_to").isNotNull(), F.desc("valid_from"))
+    return _active(latest, ending)
+
+
+def temporal_hop(sources: DataFrame, edges: DataFrame, nodes: DataFrame, instant=None, outgoing: bool = True, ending: Ending = Ending()) -> DataFrame:
+    """From source envelopes over the edges active at an instant to the nodes active then: source_id, edge, node.
+
+    Without an instant each source has its own: ``query_as_of``, as reads stamp it.
+    """
     here, there = ("from_id", "to_id") if outgoing else ("to_id", "from_id")
-    e = as_of(edges, instant).select(F.col(here).alias("__here"), F.col(there).alias("__there"), F.struct("*").alias("edge"))
-    n = as_of(nodes, instant).select(F.struct("*").alias("node"))
-    s = sources.select(F.col("entity_id").alias("source_id"))
-    return s.join(e, F.col("source_id") == F.col("__here")).join(n, F.col("__there") == F.col("node.entity_id")).select("source_id", "edge", "node")
+    if instant is not None:
+        e = as_of(edges, instant, ending=ending).select(F.col(here).alias("__here"), F.col(there).alias("__there"), F.struct("*").alias("edge"))
+        n = as_of(nodes, instant, ending=ending).select(F.struct("*").alias("node"))
+        s = sources.select(F.col("entity_id").alias("source_id"))
+        return s.join(e, F.col("source_id") == F.col("__here")).join(n, F.col("__there") == F.col("node.entity_id")).select("source_id", "edge", "node")
+    s = sources.select(F.col("entity_id").alias("source_id"), F.col("query_as_of").alias("at"))
+    near = edges.join(s.distinct(), (F.col(here) == F.col("source_id")) & (F.col("captured_at") <= F.col("at"))).select(*ENTITY, F.col("at").alias("instant"))
+    # An edge that led from here once may lead from elsewhere by then.
+    e = _as_of_each(edges, near, ending).select(F.col(here).alias("__here"), F.col(there).alias("__there"), F.col("instant").alias("__at"), F.struct("*").alias("edge"))
+    found = s.join(e, (F.col("source_id") == F.col("__here")) & (F.col("at") == F.col("__at")))
+    kinds = nodes.select("entity_type").distinct()
+    ends = found.select(F.col("__there").alias("entity_id"), F.col("at").alias("instant")).distinct().join(kinds)  # a model's few types
+    n = _as_of_each(nodes, ends, ending).select(F.col("instant").alias("__then"), F.struct("*").alias("node"))
+    return found.join(n, (F.col("__there") == F.col("node.entity_id")) & (F.col("at") == F.col("__then"))).select("source_id", F.col("at").alias("query_as_of"), "edge", "node")
 
 
 def project(h: DataFrame, recorded_at, valid_at, keys: tuple[str, ...] = ("is_edge", *ENTITY), check: bool = True) -> DataFrame:

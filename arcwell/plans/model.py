@@ -112,11 +112,18 @@ class GraphModel:
         return out
 
     def create_script(self) -> str:
-        """Statements that create an empty table for every type."""
+        """Statements that create an empty table for every type.
+
+        Spark has no indexes: keys and unique indexes are written down as table properties
+        (``unique_violations`` checks them).
+        """
         out = []
         for kind in [*self.nodes.values(), *self.edges.values()]:
             cols = ", ".join(f"`{f.name}` {f.dataType.simpleString().upper()}{'' if f.nullable else ' NOT NULL'}" for f in kind.schema().fields)
-            out.append(f"CREATE TABLE IF NOT EXISTS `{kind.name}` ({cols}) USING PARQUET;")
+            key = kind.key if isinstance(kind, NodeType) else "id"
+            unique = {"key": key} | {i.name: ",".join(i.columns) for i in kind.indexes if i.unique}
+            props = ", ".join(f"'unique.{n}'='{c}'" for n, c in unique.items())
+            out.append(f"CREATE TABLE IF NOT EXISTS `{kind.name}` ({cols}) USING PARQUET TBLPROPERTIES ({props});")
         return "\n".join(out)
 
     def ensure_created(self, spark: SparkSession) -> None:

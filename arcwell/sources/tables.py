@@ -39,10 +39,11 @@ def commerce(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges)
 
 
-def trade(spark: SparkSession, sf_dir: str, partners: int = 3) -> DataFrame:
-    """Edges between nations: from each customer nation to the supplier nations of most revenue.
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between nations: from each customer nation to every nation that supplies it.
 
-    (id, from_id, to_id, revenue, cost); cost falls with revenue, in whole cents.
+    (id, from_id, to_id, revenue, cost); revenue in whole cents; cost falls with revenue.
+    Of as many rows as there are pairs of nations, whatever the tables hold.
     """
     l, o, c, s = (read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier"))
     # Sum by order and supplier first: the large table meets the small ones aggregated.
@@ -52,7 +53,7 @@ def trade(spark: SparkSession, sf_dir: str, partners: int = 3) -> DataFrame:
     pairs = rows.filter("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("from_id"), F.col("s_nationkey").cast("long").alias("to_id")).agg(F.sum("cents").alias("revenue"))
     rank = F.row_number().over(Window.partitionBy("from_id").orderBy(F.desc("revenue"), "to_id"))
     top = F.max("revenue").over(Window.partitionBy("from_id"))
-    pairs = pairs.withColumn("rank", rank).withColumn("top", top).filter(F.col("rank") <= partners)
+    pairs = pairs.withColumn("rank", rank).withColumn("top", top)
     return pairs.select((F.col("from_id") * 1000 + F.col("to_id")).alias("id"), "from_id", "to_id", "revenue", (F.col("rank") * 100 + F.floor(F.col("top") * 10 / F.col("revenue"))).cast("long").alias("cost"))
 
 
@@ -64,7 +65,7 @@ trade_sums AS (
 ), trade_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY revenue DESC, to_id) AS rank, max(revenue) OVER (PARTITION BY from_id) AS top FROM trade_sums
 ), trade AS (
-  SELECT from_id * 1000 + to_id AS id, from_id, to_id, revenue, CAST(rank * 100 + floor(top * 10.0 / revenue) AS BIGINT) AS cost FROM trade_ranked WHERE rank <= 3
+  SELECT from_id * 1000 + to_id AS id, from_id, to_id, revenue, CAST(rank * 100 + floor(top * 10.0 / revenue) AS BIGINT) AS cost FROM trade_ranked
 )"""
 
 
@@ -80,6 +81,22 @@ e AS (SELECT -l_partkey - 1 AS from_id, l_suppkey AS to_id, count(*) AS weight F
 n AS (SELECT -p_partkey - 1 AS id FROM part UNION ALL SELECT s_suppkey FROM supplier)"""
 
 
+def located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id) and edges (from_id, to_id): customers (4 n), suppliers (4 n + 1) in nations (4 n + 2), these in regions (4 n + 3)."""
+    c, s, n = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    ends = [(c, "c_custkey", 0, "c_nationkey", 2), (s, "s_suppkey", 1, "s_nationkey", 2), (n, "n_nationkey", 2, "n_regionkey", 3)]
+    edges = [t.select((F.col(a).cast("long") * 4 + x).alias("from_id"), (F.col(b).cast("long") * 4 + y).alias("to_id")) for t, a, x, b, y in ends]
+    edges = edges[0].union(edges[1]).union(edges[2])
+    return edges.select(F.col("from_id").alias("id")).union(read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long") * 4 + 3)), edges
+
+
+LOCATED_SQL = """
+located AS (
+  SELECT c_custkey::BIGINT * 4 AS from_id, c_nationkey::BIGINT * 4 + 2 AS to_id FROM customer
+  UNION ALL SELECT s_suppkey::BIGINT * 4 + 1, s_nationkey::BIGINT * 4 + 2 FROM supplier
+  UNION ALL SELECT n_nationkey::BIGINT * 4 + 2, n_regionkey::BIGINT * 4 + 3 FROM nation)"""
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as history envelopes of users; valid until the user's next event.
 

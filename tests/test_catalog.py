@@ -9,7 +9,7 @@ import pytest
 
 from arcwell.catalog import ORACLE_SQL, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ARCWELL_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,7 @@ from arcwell.operators import centrality, communities, deltas, documents, flow,
 from arcwell.plans.model import EdgeType, GraphModel, NodeType, Property, SchemaMismatch
 from arcwell.plans.query import Edges, Graph, NO_REVISIT, Path
 from arcwell.plans.registry import ProjectionCache, Registry, standard
-from arcwell.scratch import shared_dir
+from arcwell.scratch import cut, shared_dir
 from arcwell.streaming.feed import LiveGraph, OutOfOrder, TwinSynchronizer, follow
 
 
@@ -56,6 +56,21 @@ def test_weak_components_of_a_long_path(spark):
     assert set(table(found, "id", "component").values()) == {0}
 
 
+def test_strong_components_of_a_long_path_and_a_random_graph(spark):
+    n = 200
+    found = structure.strong_components(nodes(spark, *range(n)), edges(spark, *[(i, i + 1) for i in range(n - 1)]), limit=20)
+    assert table(found, "id", "component") == {i: i for i in range(n)}
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (60, 2))]
+    reach = np.eye(40, dtype=bool)
+    for a, b in pairs:
+        reach[a, b] = True
+    for k in range(40):
+        reach |= reach[:, k : k + 1] & reach[k]
+    want = {i: min(j for j in range(40) if reach[i, j] and reach[j, i]) for i in range(40)}
+    assert table(structure.strong_components(nodes(spark, *range(40)), edges(spark, *pairs)), "id", "component") == want
+
+
 def test_cycles_with_a_self_loop_and_parallel_edges(spark):
     found, more = structure.cycles(nodes(spark, 1, 2, 3), edges(spark, (1, 2), (2, 1), (3, 3), (1, 2)))
     assert sorted(len(r["path"]) for r in found.collect()) == [1, 2, 2] and not more
@@ -77,9 +92,39 @@ def test_routes(spark):
         routes.shortest_costs(edges(spark, (0, 1), cost=[-1.0]), nodes(spark, 0), "cost")
 
 
+@pytest.mark.parametrize("local", [0, routes.LOCAL])
+def test_routes_of_any_length_are_brute_force(spark, local):
+    """The k cheapest and the unbeaten routes among all loopless ones, on a graph whose routes have up to nine edges."""
+    rng = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(9)] + [(int(a), int(b)) for a, b in rng.integers(0, 10, (14, 2)) if a != b] + [(2, 3)]
+    cost, risk = ([float(x) for x in rng.integers(1, 9, len(pairs))] for _ in range(2))
+    e = edges(spark, *pairs, cost=cost, risk=risk)
+    every, stack = [], [((0,), 0.0, 0.0)]
+    while stack:
+        path, c, r = stack.pop()
+        if path[-1] == 9:
+            every.append((c, len(path) - 1, ",".join(map(str, path)), r))
+            continue
+        stack += [((*path, b), c + x, r + y) for (a, b), x, y in zip(pairs, cost, risk) if a == path[-1] and b not in path]
+    best = {}
+    for c, n, text, _ in every:
+        best[text] = min(best.get(text, (c, n, text)), (c, n, text))
+    want = sorted(best.values())
+    for k in (1, 4, len(want) + 1):
+        got = routes.k_shortest(e, 0, 9, k, "cost", local=local).orderBy("rank").collect()
+        assert [(r["cost"], len(r["path"]) - 1, ",".join(map(str, r["path"]))) for r in got] == want[:k] and all(r["exhausted"] == (k > len(want)) for r in got)
+    assert routes.shortest_path(e, 0, 9, "cost", local=local)[1] == want[0][0] and max(n for _, n, _ in want) > 5
+    points = {(c, r) for c, _, _, r in every}
+    best = {p for p in points if not any(q != p and q[0] <= p[0] and q[1] <= p[1] for q in points)}
+    got = routes.pareto_routes(e, 0, 9, ("cost", "risk"), limit=None, local=local).collect()
+    assert {(r["cost"], r["risk"]) for r in got} == best and not got[0]["truncated"]
+    assert all(r["path"] == min(t for c, _, t, x in every if (c, x) == (r["cost"], r["risk"])) for r in got)
+    assert routes.pareto_routes(e, 0, 9, ("cost", "risk"), max_labels=3, local=local).filter("not truncated").isEmpty()
+
+
 def test_pareto_keeps_what_nothing_beats(spark):
     e = edges(spark, (0, 1), (1, 2), (0, 3), (3, 2), (0, 2), cost=[1.0, 1.0, 2.0, 2.0, 9.0], risk=[5.0, 5.0, 6.0, 6.0, 1.0])
-    assert {r["path"] for r in routes.pareto_routes(e, 0, 2, ("cost", "risk")).collect()} == {"0>1>2", "0>2"}
+    assert {r["path"] for r in routes.pareto_routes(e, 0, 2, ("cost", "risk")).collect()} == {"0,1,2", "0,2"}
 
 
 def test_betweenness(spark):
@@ -117,6 +162,23 @@ def test_link_prediction(spark):
     assert [(r["a"], r["b"], r["common"]) for r in p] == [(1, 2, 2), (3, 4, 2)]
 
 
+def test_directed_link_prediction_scopes_and_limits(spark):
+    n, e = nodes(spark, 1, 2, 3, 4), edges(spark, (1, 2), (2, 3), (2, 4), (1, 4))
+    got = communities.predict_links(n, e, directed=True).collect()
+    assert [(r["a"], r["b"], r["common"], r["jaccard"]) for r in got] == [(1, 3, 1, 0.5)]
+    members = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1)], "id long, community long")
+    assert communities.predict_links(n, e, members, directed=True, scope="same").isEmpty()
+    assert communities.predict_links(n, e, members, directed=True, scope="across").count() == 1
+    with pytest.raises(communities.CandidateLimit):
+        communities.predict_links(n, e, max_pairs=0)
+
+
+def test_vertex_program_sends_to_ids_and_halts(spark):
+    send = lambda s: F.when(s < 3, F.array(F.struct(F.lit(9).cast("long").alias("a"), (s + 1).alias("b")))).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+    state, steps = pregel.run(nodes(spark, 1, 9), edges(spark, (9, 9)).limit(0), F.lit(0).cast("long"), lambda s, w: s, F.max, lambda s, m: F.greatest(s, m), send_to=send, halt=lambda old, new: (new >= 3) | (new == old))
+    assert table(state, "id", "state")[9] == 3 and steps >= 3
+
+
 def test_vertex_program(spark):
     e = edges(spark, (1, 2), (2, 3))
     state, steps = pregel.run(nodes(spark, 1, 2, 3), e, F.when(F.col("id") == 1, 0.0).otherwise(math.inf), lambda s, w: s + w, F.min, lambda s, m: F.least(s, m))
@@ -197,6 +259,36 @@ def test_snapshot_fingerprint_does_not_depend_on_partitions(spark):
 DELTA = "op string, kind string, id long, from_id long, to_id long"
 
 
+def test_deltas_carry_properties_and_versions(spark):
+    n = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0)], "id long, name string, demand double")
+    e = edges(spark, (1, 2), (2, 3), (3, 1), cost=[1.0, 2.0, 3.0])
+    rows = [("update", "node", 1, None, None, "z", None), ("add", "node", 4, None, None, "d", None), ("remove", "node", 3, None, None, None, None), ("update", "edge", 2, None, 4, None, 9.0), ("add", "edge", 7, 4, 1, None, 5.0)]
+    delta = spark.createDataFrame(rows, DELTA + ", name string, cost double")
+    p, affected = deltas.Projection("g", 1, n, e).apply(delta, "g", 1)
+    assert table(p.nodes, "id", "name", "demand") == {1: ("z", 1.0), 2: ("b", 2.0), 4: ("d", None)}
+    assert table(p.edges, "id", "from_id", "to_id", "cost") == {1: (1, 2, 1.0), 2: (2, 4, 9.0), 7: (4, 1, 5.0)}
+    assert p.version == 2 and sorted(r["id"] for r in affected.collect()) == [1, 2, 3, 4]
+    for wrong in (lambda: p.apply(delta, "other", 2), lambda: p.apply(delta, "g", 1), lambda: p.apply(delta, "g", 2, 2), lambda: deltas.Projection("g", 1, n, e).apply(delta.union(delta.limit(1)), "g", 1)):
+        with pytest.raises(deltas.Rejected):
+            wrong()
+    same = lambda: (n, e)
+    assert deltas.apply_or_rebuild(n, e, delta, same)[2] is False and deltas.apply_or_rebuild(n, e, delta.filter("op = 'add'").withColumn("id", F.lit(1).cast("long")), same)[2] is True
+
+
+def test_mutations_are_applied_or_refused(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id long, name string, x double")
+    m = spark.createDataFrame([(1, "update", 1, "z"), (2, "remove", 2, None), (3, "add", None, "n"), (4, "add", 9, "m"), (5, "add", None, "o")], "seq long, op string, id long, name string")
+    plan = deltas.plan_mutations(m.withColumnRenamed("name", "payload"), rows.select("id", F.col("name").alias("payload")))
+    assert table(deltas.apply_mutations(rows, plan, m), "id", "name", "x") == {1: ("z", 1.0), 9: ("m", None), 10: ("n", None), 11: ("o", None)}
+    again = m.union(m.filter("seq = 1").withColumn("seq", F.lit(8).cast("long")))
+    with pytest.raises(deltas.Rejected):
+        deltas.apply_mutations(rows, deltas.plan_mutations(again.withColumnRenamed("name", "payload"), rows.select("id", F.col("name").alias("payload"))), again)
+    e = edges(spark, (1, 2), (1, 2))
+    em = spark.createDataFrame([(1, "connect", None, 1, 3), (2, "disconnect", None, 1, 2), (3, "disconnect", None, 2, 1), (4, "reconnect", 1, 2, 2), (5, "connect", 2, 1, 1)], "seq long, op string, id long, from_id long, to_id long")
+    got = table(deltas.plan_edge_mutations(em, nodes(spark, 1, 2), e), "seq", "action", "problem")
+    assert got == {1: ("Insert", "end missing"), 2: ("Delete", "ambiguous ends"), 3: ("NoOp", None), 4: ("Update", None), 5: ("Insert", "duplicate key")}
+
+
 def test_deltas_are_checked(spark):
     n, e = nodes(spark, 1, 2, 3), edges(spark, (1, 2), (2, 3))
     for bad in (("add", "node", 1, None, None), ("remove", "node", 9, None, None), ("add", "edge", 9, 1, 9), ("update", "edge", 9, 1, 2)):
@@ -216,8 +308,40 @@ def test_live_graph_follows_a_feed_and_refuses_disorder(spark, tmp_path):
     spark.createDataFrame(rows, "sequence long, " + DELTA).write.json(str(tmp_path / "in"))
     live = follow(spark, str(tmp_path / "in"), LiveGraph(nodes(spark, 1, 2), edges(spark, (1, 2))), str(tmp_path / "state"))
     assert live.sequence == 2 and live.edges.count() == 2 and [s for s, _ in live.updates] == [1, 2]
-    with pytest.raises(OutOfOrder):
-        live.apply(spark.createDataFrame([(2, "add", "node", 8, None, None)], "sequence long, " + DELTA))
+    for late in (2, 0, -1, None):
+        with pytest.raises(OutOfOrder):
+            live.apply(spark.createDataFrame([(late, "add", "node", 8, None, None)], "sequence long, " + DELTA))
+
+
+def test_live_graph_is_the_deltas_one_by_one(spark, tmp_path):
+    """Random batches folded at once and applied sequence by sequence; failing ones change nothing; a new graph goes on."""
+    rng = np.random.default_rng(2)
+    n = spark.createDataFrame([(i, f"n{i}") for i in range(6)], "id long, name string")
+    e = edges(spark, *[(int(a), int(b)) for a, b in rng.integers(0, 6, (9, 2))], cost=[float(i) for i in range(9)])
+    live = LiveGraph(n, e, state=str(tmp_path / "state"))
+    one, s = (n, e), 0
+    schema = "sequence long, " + DELTA + ", name string, cost double"
+    for epoch in range(3):
+        batch = []
+        while len(batch) < 5:
+            op, kind, i = rng.choice(["add", "update", "remove"]), rng.choice(["node", "edge"]), int(rng.integers(0, 12))
+            ends = (int(rng.integers(0, 7)), int(rng.integers(0, 7))) if kind == "edge" and op != "remove" else (None, None)
+            row = (s + 1, str(op), str(kind), i, *ends, f"x{s}" if kind == "node" else None, float(s) if kind == "edge" else None)
+            try:
+                one = deltas.apply_delta(*one, spark.createDataFrame([row], schema).drop("sequence"))[:2]
+            except deltas.Rejected:
+                continue
+            one = tuple(map(cut, one))
+            batch.append(row)
+            s += 1
+        wrong = spark.createDataFrame([*batch, (s + 1, "add", "edge", 99, 0, 77, None, None)], schema)
+        with pytest.raises(deltas.Rejected):
+            live.apply(wrong, epoch)
+        live.apply(spark.createDataFrame(batch, schema), epoch)
+        live.apply(spark.createDataFrame(batch, schema), epoch)
+        live = LiveGraph(n, e, state=str(tmp_path / "state"))
+        assert live.sequence == s and table(live.nodes, "id", "name") == table(one[0], "id", "name")
+        assert table(live.edges, "id", "from_id", "to_id", "cost") == table(one[1], "id", "from_id", "to_id", "cost")
 
 
 def test_twin(spark):
