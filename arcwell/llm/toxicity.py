@@ -25,8 +25,6 @@ from arcwell.llm.langid import sample_rate, sampled
 
 #: The most labelled documents that the word model is learnt from.
 MAX_TRAIN = 20_000
-#: The most words and beginnings that the model keeps, those surest to be toxic.
-MAX_FEATURES = 20_000
 #: Lengths of word beginnings that are evidence, besides whole words.
 BEGINNINGS = (4, 5, 6)
 #: How many documents' worth of the overall rate a word's evidence is mixed with.
@@ -60,15 +58,17 @@ LOOKALIKES: dict[str, tuple[tuple[str, float], ...]] = {
 _SIGNS = re.escape("".join(LOOKALIKES))
 _DROPPED, _ONCE, _TWICE = -1.0, -0.5, -0.5
 _LETTER = r"[^\W\d_]"
-#: Words spaced out: one letter or sign after another, at least three, with blanks between.
-SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_SIGNS}])(?: (?:{_LETTER}|[{_SIGNS}])){{2,}}(?![^\s.,;:!?])")
+#: Words spaced out: one letter or sign after another, at least three, with white space between.
+SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_SIGNS}])(?:\s++(?:{_LETTER}|[{_SIGNS}])){{2,}}(?![^\s.,;:!?])")
 #: In a run without white space: letters with other separators between, letters and
-#: signs mixed, a sign before two letters, or a letter three times.
+#: signs mixed, a sign before two letters, a letter three times, or nothing but letters and
+#: signs, a digit or sign that isn't punctuation among them.
 DISGUISED = re.compile(
     rf"(?:{_LETTER}|[{_SIGNS}])(?:[._\-*](?:{_LETTER}|[{_SIGNS}])){{2,}}(?![^.,;:!?])"
     rf"|(?<![\w{_SIGNS}])[{_SIGNS}]*+{_LETTER}++[{_SIGNS}]++{_LETTER}[^.,;:?]*"
     rf"|^[$@!|(<€£013457]{_LETTER}{{2}}.*"
     rf"|(?<!\w){_LETTER}*?({_LETTER})\1\1.*"
+    rf"|(?<![\w{_SIGNS}])(?=[{_SIGNS}]*{_LETTER})(?=(?:{_LETTER}|[!|+(<*])*[0-9@$€£])(?:{_LETTER}|[{_SIGNS}]){{3,}}"
 )
 _WORD = re.compile(rf"{_LETTER}+")
 
@@ -130,6 +130,7 @@ def char_trigrams(docs: DataFrame) -> np.ndarray:
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
     """For each run of a disguised span, the strings it may stand for and their log-probabilities."""
+    span = " ".join(span.split())
     spaced = re.fullmatch(r"\S(?:[ ._\-*]\S){2,}", span) is not None
     units = span[::2] if spaced else re.sub(r"[._\-]", "", span)
     out: list[list[tuple[str, float]]] = []
@@ -230,7 +231,7 @@ class Scorer:
         return best if best > 0 else self.rate / 2
 
 
-def train_words(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[float, dict[str, float]]:
+def train_words(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[float, dict[str, float]]:
     """The rate of toxic documents and the probability each telling word gives.
 
     From at most about ``max_train`` labelled rows (doc_id, toxic), chosen by a
@@ -256,7 +257,7 @@ def train_words(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 
     counts = rows.mapInArrow(count, "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n"))
     p = (F.col("t") + _PRIOR * rate) / (F.col("n") + _PRIOR)
-    telling = counts.filter("t >= 3").select("feature", p.alias("p"), "t").filter(F.col("p") > 2 * rate).orderBy(F.desc(F.col("p")), "feature").limit(max_features)
+    telling = counts.filter("t >= 3").select("feature", p.alias("p"), "t").filter(F.col("p") > 2 * rate)  # as many as the sample's documents have, at most
     return rate, {r["feature"]: r["p"] for r in telling.collect()}
 
 

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -409,10 +410,70 @@ def test_language_posteriors(spark):
 
 
 def test_ambiguous_text_follows_the_other_evidence(spark):
-    model = langid.TextModel(["de", "en"], np.ones((2, langid.BINS)) * np.array([[50.0], [50.0]]))
-    rows = [(i, "in an", "h.example.com", "com", "de") for i in range(30)]
+    """Texts that tell nothing (a bin as likely under all) take the language that is declared where others are."""
+    flat = langid.TextModel(["de", "en"], np.ones((2, langid.BINS)))
+    told = langid.trigram_bins("der hund")
+    counts = np.ones((2, langid.BINS))
+    counts[0, told] += 500
+    counts[1, langid.trigram_bins("the house")] += 500
+    model = langid.TextModel(["de", "en"], counts)
+    rows = [(i, "der hund", "h.example.com", "com", "de") for i in range(30)] + [(i, "the house", "i.example.org", "org", "en") for i in range(30, 60)]
+    rows += [(100, "xyz", "h.example.com", "com", "de"), (101, "xyz", "i.example.org", "org", "en")]
     df = spark.createDataFrame(rows, "key long, text string, host string, suffix string, declared string")
-    assert {r["lang"] for r in langid.identify(df, model).collect()} <= {"de", "en", "und"}
+    got = {r["key"]: r["lang"] for r in langid.identify(df, model).collect()}
+    assert all(got[i] == ("de" if i < 30 else "en") for i in range(60)) and got[101] == "en"
+    assert flat.scores("xyz")[0] == flat.scores("xyz")[1]
+
+
+def plain_posteriors(rows, model):
+    """The fusion once more with dictionaries, from (text, host, suffix, declared)."""
+    n = len(model.langs) + 1
+    scores = [model.scores(langid.visible_text(t)) for t, *_ in rows]
+    guess = [n - 1 if s[-1] == 0 else int(np.argmax(s)) for s in scores]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h.count(".") else ""
+    hosts, suffixes, declared = ([r[k] or "?" for r in rows] for k in (1, 2, 3))
+
+    def counts(keys):
+        out = {}
+        for k, g in zip(keys, guess):
+            out.setdefault(k, np.zeros(n))[g] += 1
+        return out
+
+    whole = np.bincount(guess, minlength=n) + 1.0
+    smooth = lambda c, parent: (c + 20 * parent) / (c.sum() + 20)
+    by_domain, by_host = counts([domain(h) for h in hosts]), counts(hosts)
+
+    def given(keys):
+        by = counts(keys)
+        totals = np.bincount(guess, minlength=n)
+        # A language that no row was guessed to be has no likelihood to go by.
+        return {k: np.where(totals > 0, np.log((c + 1) / (totals + len(by) + 1)), 0.0) for k, c in by.items()}
+
+    of_declared, of_suffix = given(declared), given(suffixes)
+    out = []
+    for i, s in enumerate(scores):
+        prior = smooth(by_host[hosts[i]], smooth(by_domain[domain(hosts[i])], whole / whole.sum()))
+        fused = s + of_declared[declared[i]] + of_suffix[suffixes[i]] + np.log(prior)
+        if s[-1] == 0:
+            fused = np.where(np.arange(n) == n - 1, 0.0, -50.0)
+        out.append(([*model.langs, "und"][int(np.argmax(fused))], 1 / np.exp(fused - fused.max()).sum()))
+    return out
+
+
+def test_posteriors_are_those_of_the_plain_formula(spark):
+    rng = random.Random(12)
+    words = {"en": "the cat and dog in house with that thing".split(), "de": "der hund und die katze in dem haus mit".split(), "xx": "qzx kjw vvv zzq 123 ###".split()}
+    train = documents(spark, [" ".join(rng.choices(words[x], k=9)) for _ in range(30) for x in ("en", "de")], langs=["en", "de"] * 30)
+    model = langid.train_text_model(train)
+    rows = []
+    for i in range(150):
+        lang = rng.choice(["en", "de", "de", "xx"])
+        text = rng.choice([" ".join(rng.choices(words[lang], k=rng.choice([1, 2, 9, 3000]))), " ".join(rng.choices(words["en"] + words["de"], k=4)), "", "12 ##"])
+        rows.append((text, rng.choice(["a.example.com", "b.example.com", "c.test.de", "localhost", None]), rng.choice(["com", "de", None]), rng.choice(["en", "de", "fr", None])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "key long, text string, host string, suffix string, declared string")
+    got = {r["key"]: (r["lang"], r["posterior"]) for r in langid.identify(df, model).collect()}
+    for i, (lang, p) in enumerate(plain_posteriors(rows, model)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(p, rel=1e-9)
 
 
 # Toxicity
@@ -428,7 +489,9 @@ def test_disguised_words_are_restored_and_scored(spark):
     for disguise in ("gr0mbl3r", "g r u m b l e r", "g.r.u.m.b.l.e.r", "grummmmbler", "$tink3r", "st1nk3r", "s-t-i-n-k-e-r"):
         restored = scorer.restored(f"hello {disguise} you")
         assert restored, disguise
-    for disguise in ("grumb1er", "s t i n k e r", "s.t.i.n.k.e.r", "stinkkker", "$tinker", "st1nk3r"):
+    for disguise in ("st1nk3r", "5tinker", "stink3r5", "s  t  i  n  k  e  r", "s\tt\ti\tn\tk\te\tr"):
+        assert scorer.restored(f"hello {disguise} you"), disguise
+    for disguise in ("s  t  i  n  k  e  r", "s\nt\ni\nn\nk\ne\nr", "grumb1er", "s t i n k e r", "s.t.i.n.k.e.r", "stinkkker", "$tinker", "st1nk3r"):
         assert scorer.score(f"the garden is {disguise} today") >= 0.5, disguise
     assert all(scorer.score(t) < 0.5 for t in [*clean, "", None, "?", "x" * 50_000])
     got = toxicity.toxicity_scores(documents(spark, [*texts, None, ""]), scorer).collect()
@@ -436,6 +499,38 @@ def test_disguised_words_are_restored_and_scored(spark):
     assert toxicity.toxicity_scores(docs.filter("false"), scorer).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abelost013$@!*.| ", min_size=1, max_size=7), st.integers(0, 5))
+def test_decoding_is_the_best_way_through_the_lattice(span, seed):
+    model = np.log(np.random.default_rng(seed).dirichlet(np.ones(toxicity._CLASSES), size=(toxicity._CLASSES, toxicity._CLASSES))).astype(np.float32)
+
+    def total(letters):
+        c = [0, 0, *(int(toxicity._CLASS[ord(x)]) for x in letters), 0]
+        return sum(float(model[c[i], c[i + 1], c[i + 2]]) for i in range(len(c) - 2))
+
+    ways = [("", 0.0)]
+    for arcs in toxicity.lattice(span):
+        ways = [(done + letters, p + q) for done, p in ways for letters, q in arcs]
+    best = {}
+    for text, p in ways:
+        best[text] = max(best.get(text, -math.inf), p + total(text))
+    found = toxicity.decode(span, model)
+    assert best[found] == pytest.approx(max(best.values()), abs=1e-4)
+
+
+def test_toxic_words_are_caught_in_held_out_rows_whatever_else_a_row_has(spark):
+    """Labels of held-out rows are not learnt from; repeated rows and columns of the same names change nothing."""
+    rng = random.Random(4)
+    words = [f"word{c}" for c in "abcdefghijklmnop"]
+    texts = [" ".join(rng.choices(words, k=30) + (["stinker"] if i % 4 == 0 else [])) for i in range(400)]
+    docs = documents(spark, texts).withColumns({"score": F.lit("x"), "toxic": F.lit("y"), "feature": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 0) for i in range(400)], "doc_id long, toxic int, score int")
+    scorer = toxicity.train(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    twice = docs.union(docs)
+    got = toxicity.toxicity_scores(twice, scorer).groupBy("doc_id").agg(F.count_distinct("score").alias("n"), F.max("score").alias("s")).collect()
+    assert len(got) == 400 and all(r["n"] == 1 and (r["s"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got)
+
+
 def test_training_without_labels(spark):
     docs = documents(spark, ["some text", None])
     scorer = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
