@@ -21,6 +21,17 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is in memory several times.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/arcwell/{name}-{uuid.uuid4().hex}"
 
@@ -32,6 +43,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     running the steps before again.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,4 +59,5 @@ def clean_up(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

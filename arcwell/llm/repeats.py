@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcwell.llm.anchors import Spans, byte_codes, stretches
-from arcwell.llm.common import kept
+from arcwell.llm.common import kept, small_batches
 
 #: Texts cut at once.
 _TEXTS = 256
@@ -251,6 +251,7 @@ def covered(spans: pa.ListScalar | None, size: int) -> np.ndarray:
 
 def with_spans(docs: DataFrame, symbols: Symbols, window: int, gram: int, compare, all_copies: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, spans) and the columns ``carry`` for every row of ``docs``; rows without an id have no spans."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, carry)
     known = texts.filter("doc_id is not null")
     spans = repeated_spans(known, symbols, window, gram, compare, all_copies)
