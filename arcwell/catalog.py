@@ -438,13 +438,13 @@ def temporal_incoming(spark, d):
 
 
 @query(f"""
-WITH {HISTORY_SQL}, t(at) AS (VALUES (TIMESTAMP '2024-01-10'), (TIMESTAMP '2024-01-20')),
-a AS (SELECT * FROM (SELECT h.*, t.at, row_number() OVER (PARTITION BY entity_type, entity_id, at ORDER BY captured_at DESC, valid_to IS NOT NULL, valid_from DESC) AS r FROM h JOIN t ON captured_at <= at) WHERE r = 1 AND operation_kind NOT IN (3, 5))
-SELECT s.at AS at, s.entity_id AS source_id, n.entity_id AS node_id, n.event_id AS event_id FROM a s JOIN a e ON e.at = s.at AND e.entity_id = s.entity_id JOIN a n ON n.at = s.at AND n.entity_id = (e.entity_id + 7) % 150""")
+WITH {HISTORY_SQL}, t(instant) AS (VALUES (TIMESTAMP '2024-01-10'), (TIMESTAMP '2024-01-20')),
+a AS (SELECT * FROM (SELECT h.*, t.instant, row_number() OVER (PARTITION BY entity_type, entity_id, instant ORDER BY captured_at DESC, valid_to IS NOT NULL, valid_from DESC) AS r FROM h JOIN t ON captured_at <= instant) WHERE r = 1 AND operation_kind NOT IN (3, 5))
+SELECT s.instant AS instant, s.entity_id AS source_id, n.entity_id AS node_id, n.event_id AS event_id FROM a s JOIN a e ON e.instant = s.instant AND e.entity_id = s.entity_id JOIN a n ON n.instant = s.instant AND n.entity_id = (e.entity_id + 7) % 150""")
 def temporal_outgoing_own_instants(spark, d):
     h = history_log(spark, d)
     out = history.temporal_hop(history.as_of(h, _T1).union(history.as_of(h, _T2)), _edge_history(spark, d), h)
-    return out.select(F.col("query_as_of").cast("timestamp_ntz").alias("at"), "source_id", F.col("node.entity_id").alias("node_id"), F.col("node.event_id").alias("event_id"))
+    return out.select(F.col("query_as_of").cast("timestamp_ntz").alias("instant"), "source_id", F.col("node.entity_id").alias("node_id"), F.col("node.event_id").alias("event_id"))
 
 
 def _snap(spark, d, at):
