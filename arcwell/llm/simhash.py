@@ -64,8 +64,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 def _near(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that connect what lies within ``max_bits``, at most one per value less one.
 
-    Few values are compared outright; many by looking up each value with every
-    choice of at most ``max_bits`` of the differing bits flipped.
+    Of few values the shared positional bytes are tallied pair by pair, and pairs that reach the
+    guaranteed count are verified; of many, each value is looked up with every choice of at
+    most ``max_bits`` of the differing bits flipped, which gives the same pairs.
     """
     n = len(values)
     parent = list(range(n))
@@ -84,7 +85,9 @@ def _near(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
             links.append((int(values[i]), int(values[j])))
 
     if n <= 128:
-        close = np.bitwise_count(values[:, None] ^ values[None, :]) <= max_bits
+        differ = values[:, None] ^ values[None, :]
+        shared = (differ.view(np.uint8).reshape(n, n, 8) == 0).sum(axis=2)  # positional bytes
+        close = (shared >= 8 - max_bits) & (np.bitwise_count(differ) <= max_bits)
         for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True):
             link(int(i), int(j))
         return links
@@ -111,7 +114,9 @@ def near_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     masks = [sum(0xFF << (8 * p) for p in chosen) for chosen in positions]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)])
-    postings = distinct.select("fp", F.explode(keys).alias("k")).groupBy("k.choice", "k.bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    # By number: few bytes stand for many postings.
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    postings = dealt.select("fp", F.explode(keys).alias("k")).groupBy("k.choice", "k.bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def run(batches):
         for batch in batches:
