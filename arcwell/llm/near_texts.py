@@ -268,9 +268,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: in
     return both.repartition("a", "b").sortWithinPartitions("a", "b", "second").select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def _apart(meets: DataFrame, links: DataFrame, seed: int) -> DataFrame:
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: only what these join is worked on again, by its roots."""
+    if roots is None:
+        return kept(connected_components(links), "roots")
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = kept(connected_components(between), "roots").select(F.col("node").alias("old"), F.col("root").alias("top"))
+    known = roots.unionByName(new.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("old").alias("root")))
+    return kept(known.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _apart(meets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
     """(key, id, n, pos, root, rows and center of the key) of keys whose rows are in different components."""
-    roots = connected_components(links)
     rows = meets.join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("hot", "k").alias("key"), "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     by = F.xxhash64("id", F.lit(seed))
     keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("size"), *[F.min_by(c, by).alias(f"c_{c}") for c in ("id", "n", "pos", "root")])
@@ -357,7 +367,8 @@ def near_text_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8
     salted = meets.filter("hot is not null and id = center")
     tops = salted.join(salted.groupBy("hot").agg(F.min("id").alias("top")), "hot").select(*_pairs("id", "top"))
     links = kept(_verified(simhash.union(linked.select(*_pairs("p", "q"))).union(stars).union(tops), classes, rows, shingle, similarity), "links")
-    apart = _apart(meets, links, 0)
+    roots = _joined(None, links)
+    apart = _apart(meets, roots, 0)
     for turn in range(1, STARS):
         rows_of, pairs_of = apart.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0))).first()
         if pairs_of <= MANY_PAIRS * rows_of:
@@ -365,12 +376,11 @@ def near_text_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8
         left = F.least(F.col("n") - F.col("pos"), F.col("c_n") - F.col("c_pos"))
         near = (F.col("root") != F.col("c_root")) & (left >= F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("c_n")) - 1e-9))
         found = kept(_verified(apart.filter(near).select(*_pairs("id", "c_id")), classes, rows, shingle, similarity), "links")
-        links = links.union(found)
-        apart = _apart(meets, links, turn)
+        roots = _joined(roots, found)
+        apart = _apart(meets, roots, turn)
         if found.count() * IDLE < rows_of:
             break
-    links = kept(links.union(_verified(_all_pairs(apart, similarity), classes, rows, shingle, similarity)), "links")
-    roots = connected_components(links)
+    roots = _joined(roots, kept(_verified(_all_pairs(apart, similarity), classes, rows, shingle, similarity), "links"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("first"))
     labels = rooted.join(first.hint("merge"), "root").select("high", "low", "doc_id", "version", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version"))
