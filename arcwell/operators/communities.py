@@ -5,13 +5,15 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcwell.operators import moving
 from arcwell.scratch import cut
 
-#: Edges that moving nodes on the driver may have.
-MAX_EDGES = 10_000_000
+#: Edges, and nodes, that are moved one at a time on the driver.
+DRIVER_EDGES = 250_000
 
 
 def _move(adj: dict, out: dict, inn: dict, total: float, resolution: float, rng: random.Random) -> dict:
@@ -59,22 +61,9 @@ def _connected(home: dict, adj: dict) -> dict:
     return out
 
 
-def communities(nodes: DataFrame, edges: DataFrame, weight: str | None = None, resolution: float = 1.0, seed: int = 42, levels: int = 20) -> DataFrame:
-    """(id, community): local moves, splitting of what isn't connected, and aggregation, by level.
-
-    Modularity is the directed one.  Deterministic for a seed; communities are
-    connected and numbered by their first node.  The edges and ids go to the driver, up to
-    ``MAX_EDGES`` each; beyond, ValueError.
-    """
-    rows = edges.groupBy("from_id", "to_id").agg(F.sum(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).limit(MAX_EDGES + 1).toPandas()
-    if len(rows) > MAX_EDGES:
-        raise ValueError("too many edges")
-    ids = sorted(nodes.select("id").limit(MAX_EDGES + 1).toArrow().column(0).to_pylist())
-    if len(ids) > MAX_EDGES:
-        raise ValueError("too many nodes")
-    part = {v: v for v in ids}
-    arcs = list(zip(rows["from_id"].tolist(), rows["to_id"].tolist(), rows["w"].tolist(), strict=True))
-    arcs.sort()
+def _levels(names: list, arcs: list, resolution: float, seed: int, levels: int) -> dict:
+    """The community of each name, by its first: moves, splitting and aggregation over arcs (a, b, weight)."""
+    part = {v: v for v in names}
     total = sum(w for _, _, w in arcs)
     rng = random.Random(seed)
     for _ in range(levels if total else 0):
@@ -91,10 +80,26 @@ def communities(nodes: DataFrame, edges: DataFrame, weight: str | None = None, r
         if all(home[v] == v for v in names):
             break
         part = {v: home[c] for v, c in part.items()}
-    first: dict = {}
-    for v in ids:
-        first.setdefault(part[v], len(first))
-    return nodes.sparkSession.createDataFrame([(v, first[part[v]]) for v in ids], "id long, community long")
+    return part
+
+
+def communities(nodes: DataFrame, edges: DataFrame, weight: str | None = None, resolution: float = 1.0, seed: int = 42, levels: int = 20) -> DataFrame:
+    """(id, community): local moves, splitting of what isn't connected, and aggregation, by level.
+
+    Modularity is the directed one.  Deterministic for a seed; communities are
+    connected and numbered by their first node.  Up to ``DRIVER_EDGES`` edges and as many
+    nodes are moved one at a time on the driver; the levels of larger graphs before that move
+    nodes in parallel (see ``moving``), with any number of edges.  Beyond ``moving.MAX_NODES``
+    nodes, ValueError.
+    """
+    arcs = cut(edges.groupBy("from_id", "to_id").agg(F.sum(F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")))
+    ids, arcs = moving.numbered(nodes, arcs)
+    group, arcs, levels = moving.moved(arcs, len(ids), resolution, seed, levels, DRIVER_EDGES)
+    if levels:
+        rows = sorted(zip(*(c.to_pylist() for c in arcs.toArrow().columns), strict=True))
+        part = _levels(list(range(int(group.max(initial=-1)) + 1)), rows, resolution, seed, levels)
+        group = np.array([part[c] for c in range(len(part))], np.int32)[group]
+    return moving.told_apart(nodes, ids, group)
 
 
 def modularity(members: DataFrame, edges: DataFrame, weight: str | None = None, resolution: float = 1.0) -> DataFrame:
