@@ -6,7 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcwell.operators import moving
@@ -145,6 +145,24 @@ class CandidateLimit(ValueError):
     """More candidate pairs than allowed."""
 
 
+def _alike(links: DataFrame, members: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(v, r) of all v of links (v, u), and (r, d, size, second, community) of nodes that are alike.
+
+    These have the same u, told apart by two hashes of 64 bits, and the same community; r and
+    second are the smallest two.
+    """
+    each = links.groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "u")).alias("y"))
+    if members is None:
+        each = each.withColumn("community", F.lit(None).cast("long"))
+    else:
+        each = each.join(members.select(F.col("id").alias("v"), "community"), "v", "left")
+    key = ["d", "x", "y", "community"]
+    least = each.groupBy(*key).agg(F.min("v").alias("r")).select(F.col("r"), *[F.col(k).alias(f"k_{k}") for k in key])
+    named = cut(each.join(least, F.col("d").eqNullSafe(F.col("k_d")) & (F.col("x") == F.col("k_x")) & (F.col("y") == F.col("k_y")) & F.col("community").eqNullSafe(F.col("k_community"))).select("v", "r", "d", "community"))
+    kinds = named.groupBy("r").agg(F.first("d").alias("d"), F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("v") > F.col("r"), F.col("v"))).alias("second"), F.first("community").alias("community"))
+    return named.select("v", "r"), cut(kinds)
+
+
 def predict_links(
     nodes: DataFrame, edges: DataFrame, members: DataFrame | None = None, min_common: int = 1, limit: int = 100, weights: tuple[float, ...] = (1.0, 1.5, 1.5, 0.25, 1.0),
     directed: bool = False, scope: str = "all", max_pairs: int | None = None, min_confidence: float = 0.0,
@@ -156,7 +174,9 @@ def predict_links(
     common.  With ``members`` (id, community), ``scope`` same or across keeps pairs within or
     between communities.  Beyond ``max_pairs`` candidates ``CandidateLimit`` is raised.
     Confidence is the weighted mean of the measures over their largest values; ties go to the
-    smaller ids.  Wedges at a hub are as many as the square of its links: that is the work.
+    smaller ids.  Nodes with the same neighbours (and community) have the same measures with any
+    other, so pairs are made of such classes and only the first ``limit`` expanded.  Wedges at a
+    hub are as many as the square of the classes it links: that is the work.
     """
     if min_common < 1:
         raise ValueError("candidates come from common neighbours; ask for at least one")
@@ -169,25 +189,57 @@ def predict_links(
     n_out, n_in = (x.groupBy("v").agg(F.count(F.lit(1)).alias("d")) for x in (out, into))
     # How many links a common neighbour has: those out of and into it, or just its links.
     evidence = n_out.union(n_in).groupBy("v").agg(F.sum("d").alias("d")) if directed else n_out
-    near = into.select(F.col("v").alias("m"), F.col("u").alias("a")).join(evidence.select(F.col("v").alias("m"), F.col("d").alias("du")), "m")
-    pairs = near.join(out.select(F.col("v").alias("m"), F.col("u").alias("b")), "m").filter("a <> b" if directed else "a < b")
+    like_a, kinds_a = _alike(out, members)
+    like_b, kinds_b = _alike(into, members) if directed else (like_a, kinds_a)
+    kind = lambda kinds, x: kinds.select(F.col("r").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("d", "size", "second", "community")])
+    near = out.join(kinds_a.select(F.col("r").alias("v")), "v").select(F.col("u").alias("m"), F.col("v").alias("a")).join(evidence.select(F.col("v").alias("m"), F.col("d").alias("du")), "m")
+    far = into.join(kinds_b.select(F.col("r").alias("v"), "size"), "v").select(F.col("u").alias("m"), F.col("v").alias("b"), "size")
+    if directed:
+        far = far.join(kinds_a.select(F.col("r").alias("b"), F.col("size").alias("also")), "b", "left")
+        some = (F.col("a") != F.col("b")) | (F.col("size") > 1) | (F.col("also") > 1)
+    else:
+        some = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("size") > 1))
+    pairs = near.join(far, "m").filter(some)
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("du") > 1, 1 / F.log("du")).otherwise(0.0)).alias("adamic_adar")).filter(F.col("common") >= min_common)
+    # All of a class are linked to all of another, or none.
     pairs = pairs.join(out.select(F.col("v").alias("a"), F.col("u").alias("b")), ["a", "b"], "left_anti")
-    pairs = pairs.join(n_out.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(n_in.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
-    pairs = pairs.withColumns({"jaccard": F.col("common") / (F.col("da") + F.col("db") - F.col("common")), "attachment": (F.col("da") * F.col("db")).cast("double")})
-    if members is None:
-        pairs = pairs.withColumn("affinity", F.lit(0.0))
-    else:
-        pairs = pairs.join(members.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a", "left").join(members.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b", "left")
-        pairs = pairs.withColumn("affinity", F.coalesce((F.col("ca") == F.col("cb")).cast("double"), F.lit(0.0)))
-        if scope != "all":
-            pairs = pairs.filter(F.col("affinity") == (1.0 if scope == "same" else 0.0))
+    pairs = pairs.join(kind(kinds_a, "a"), "a").join(kind(kinds_b, "b"), "b")
+    pairs = pairs.withColumns({"jaccard": F.col("common") / (F.col("d_a") + F.col("d_b") - F.col("common")), "attachment": (F.col("d_a") * F.col("d_b")).cast("double")})
+    pairs = pairs.withColumn("affinity", F.coalesce((F.col("community_a") == F.col("community_b")).cast("double"), F.lit(0.0)))
+    if scope != "all":
+        pairs = pairs.filter(F.col("affinity") == (1.0 if scope == "same" else 0.0))
+    pairs = cut(pairs)
     if max_pairs is not None:
-        pairs = cut(pairs)
-        if (n := pairs.count()) > max_pairs:
+        n = _candidates(pairs, like_a, like_b, directed)
+        if n > max_pairs:
             raise CandidateLimit(f"{n} candidate pairs, {max_pairs} allowed")
     measures = ("common", "jaccard", "adamic_adar", "attachment", "affinity")
     tops = pairs.agg(*[F.max(m).alias(f"top_{m}") for m in measures])
     pairs = pairs.crossJoin(F.broadcast(tops))  # one row
     score = sum((F.when(F.col(f"top_{m}") > 0, F.col(m) / F.col(f"top_{m}")).otherwise(0.0) * w for m, w in zip(measures, weights, strict=True)), F.lit(0.0)) / sum(weights)
-    return pairs.select("a", "b", *measures, F.round(score, 12).alias("confidence")).filter(F.col("confidence") >= min_confidence).orderBy(F.desc("confidence"), "a", "b").limit(limit)
+    pairs = pairs.withColumn("confidence", F.round(score, 12)).filter(F.col("confidence") >= min_confidence)
+    # The first limit pairs come from the limit classes whose first pairs are first, and from the first members of these.
+    same = F.col("a") == F.col("b")
+    alone = same & F.col("second_b").isNull()
+    first = pairs.withColumns({"least_a": F.when(alone, F.col("second_a")).otherwise(F.col("a")), "least_b": F.when(same & ~alone, F.col("second_b")).otherwise(F.col("b"))})
+    first = cut(first.orderBy(F.desc("confidence"), "least_a", "least_b").limit(limit).select("a", "b", *measures, "confidence"))
+    by = Window.partitionBy("r").orderBy("v")
+    ranked = lambda like, x, v, i: like.join(first.select(F.col(x).alias("r")).distinct(), "r", "left_semi").withColumn(i, F.row_number().over(by)).filter(F.col(i) <= limit + 1).select(F.col("r").alias(x), F.col("v").alias(v), i)
+    rows = first.join(ranked(like_a, "a", "p", "i"), "a").join(ranked(like_b, "b", "q", "j"), "b").filter(F.col("i").cast("long") * F.col("j") <= 2 * limit)
+    if directed:
+        rows = rows.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b"), *measures, "confidence")
+    else:
+        rows = rows.filter("a <> b or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *measures, "confidence")
+    return rows.orderBy(F.desc("confidence"), "a", "b").limit(limit)
+
+
+def _candidates(pairs: DataFrame, like_a: DataFrame, like_b: DataFrame, directed: bool) -> int:
+    """How many pairs of different nodes pairs (a, b, size_a, size_b) of classes stand for."""
+    both = (F.col("size_a") * F.col("size_b")).cast("decimal(38,0)")
+    if directed:
+        met = like_a.select("v", F.col("r").alias("a")).join(like_b.select("v", F.col("r").alias("b")), "v").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+        n = both - F.coalesce("met", F.lit(0))
+        pairs = pairs.join(met, ["a", "b"], "left")
+    else:
+        n = F.when(F.col("a") == F.col("b"), both - F.col("size_a")).otherwise(2 * both) / 2
+    return int(pairs.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0])

@@ -195,6 +195,49 @@ def test_directed_link_prediction_scopes_and_limits(spark):
         communities.predict_links(n, e, max_pairs=0)
 
 
+def _all_links(n, pairs, members, directed, scope, weights=(1.0, 1.5, 1.5, 0.25, 1.0)):
+    """Each pair compared with each: (a, b, common, confidence) in order."""
+    out = {v: set() for v in n}
+    into = {v: set() for v in n}
+    for a, b in pairs:
+        for x, y in [(a, b)] if directed else [(a, b), (b, a)]:
+            out[x].add(y)
+            into[y].add(x)
+    found = []
+    for a in n:
+        for b in n:
+            common = out[a] & into[b]
+            same = float(members.get(a) is not None and members.get(a) == members.get(b))
+            if (a != b if directed else a < b) and common and b not in out[a] and (scope == "all" or same == (scope == "same")):
+                degree = [len(out[m]) + len(into[m]) if directed else len(out[m]) for m in common]
+                found.append((a, b, (len(common), len(common) / (len(out[a]) + len(into[b]) - len(common)), sum(1 / math.log(d) for d in degree if d > 1), len(out[a]) * len(into[b]), same)))
+    tops = [max((f[2][i] for f in found), default=0) for i in range(5)]
+    score = lambda f: round(sum(w * x / t for w, x, t in zip(weights, f[2], tops, strict=True) if t) / sum(weights), 9)
+    return sorted(((a, b, m[0], score((a, b, m))) for a, b, m in found), key=lambda r: (-r[3], r[0], r[1]))
+
+
+@pytest.mark.parametrize("directed, scope", [(False, "all"), (False, "across"), (True, "all"), (True, "same")])
+def test_link_prediction_is_brute_force(spark, directed, scope):
+    rng = random.Random(11)
+    ids = range(40)
+    # Leaves of a few hubs are alike; some nodes link to themselves.
+    pairs = [(v, 36 + v % 3) for v in range(8, 36)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(22)] + [(37, 37), (5, 5)]
+    members = {v: v % 2 for v in ids if v % 7}
+    want = _all_links(ids, pairs, members, directed, scope)
+    known = spark.createDataFrame(list(members.items()), "id long, community long")
+    for limit in (3, 20, 1000):
+        got = communities.predict_links(nodes(spark, *ids), edges(spark, *pairs), known, directed=directed, scope=scope, limit=limit, max_pairs=len(want)).collect()
+        assert [(r["a"], r["b"], r["common"], round(r["confidence"], 9)) for r in got] == want[:limit]
+    with pytest.raises(communities.CandidateLimit):
+        communities.predict_links(nodes(spark, *ids), edges(spark, *pairs), known, directed=directed, scope=scope, max_pairs=len(want) - 1)
+
+
+def test_link_prediction_at_a_hub_of_many(spark):
+    e = spark.range(400_000).selectExpr("id", "id as from_id", "100000 + id % 2 as to_id")
+    got = communities.predict_links(nodes(spark), e, limit=4)
+    assert [(r["a"], r["b"], r["common"]) for r in got.collect()] == [(0, 2, 1), (0, 4, 1), (0, 6, 1), (0, 8, 1)]
+
+
 def test_vertex_program_sends_to_ids_and_halts(spark):
     send = lambda s: F.when(s < 3, F.array(F.struct(F.lit(9).cast("long").alias("a"), (s + 1).alias("b")))).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
     state, steps = pregel.run(nodes(spark, 1, 9), edges(spark, (9, 9)).limit(0), F.lit(0).cast("long"), lambda s, w: s, F.max, lambda s, m: F.greatest(s, m), send_to=send, halt=lambda old, new: (new >= 3) | (new == old))
