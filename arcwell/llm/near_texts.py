@@ -11,7 +11,8 @@ hashes go (see ``sketched``); every other one is verified by the whole sets.
 
 A key that many share is compared by stars before anything else: its rows with one of them.
 What is linked so needs no more pairs; only rows still in different components are compared
-each with each, in blocks, once stars have made these few.  Keys that a sample shows to be
+each with each, in blocks, once stars have made these few: where a block's texts are together,
+so that it returns no more links than join them.  Keys that a sample shows to be
 frequent are salted.
 """
 
@@ -31,13 +32,14 @@ from arcwell.llm.simhash import near_links
 SAMPLED, COMMON = 20_000, 200_000
 #: Occurrences in the sample for each salt of a frequent shingle.
 _SALT = 64
-#: Rows of a key that one block holds when all its pairs are compared; pairs a row from which
-#: another star round comes first, how many there may be, and rows a link from which one isn't worth it.
-BLOCK, MANY_PAIRS, STARS, IDLE = 2048, 1000, 8, 50
+#: Rows of a key, and shingles of these, that one block holds when all its pairs are compared; pairs a
+#: row from which another star round comes first, how many there may be, and rows a link from which one isn't worth it; and pairs
+#: a row of a block up to which these are given themselves.
+BLOCK, VOLUME, MANY_PAIRS, STARS, IDLE, FEW = 2048, 2_000_000, 1000, 8, 50, 2
 #: Smallest hashes of a set that are kept with it, and how many of them similar sets share.
 SKETCH, SHARED = 32, 9
-#: Texts taken apart at once, and rows that a task returns at once.
-_TEXTS, _PIECE = 256, 1 << 17
+#: Texts taken apart at once.
+_TEXTS = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -280,46 +282,142 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _apart(meets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
-    """(key, id, n, pos, root, rows and center of the key) of keys whose rows are in different components."""
+    """(key, id, n, pos, root; size, volume and center of the key) of keys whose rows are in different components."""
     rows = meets.join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("hot", "k").alias("key"), "id", "n", "pos", F.coalesce("root", "id").alias("root"))
     by = F.xxhash64("id", F.lit(seed))
-    keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("size"), *[F.min_by(c, by).alias(f"c_{c}") for c in ("id", "n", "pos", "root")])
+    keys = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), *[F.min_by(c, by).alias(f"c_{c}") for c in ("id", "n", "pos", "root")])
     return kept(rows.join(keys.filter("least < most").drop("least", "most"), "key"), "apart")
 
 
-def _all_pairs(apart: DataFrame, similarity: float) -> DataFrame:
-    """Possible pairs of each key's rows in different components; a key of many rows is dealt out in blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+def _dealt(apart: DataFrame) -> DataFrame:
+    """(g, key, id, n, pos, root): the rows of each key, in blocks where they are many or long."""
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("volume") / VOLUME)).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "id", "n", "pos", "root")
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "id", "n", "pos", "root")
+
+
+def _steps(r: dict, similarity: float):
+    """Places (i, j) of possible pairs of a key's rows in different components, some at a time."""
+    order = np.lexsort((r["n"], r["key"], r["g"]))
+    g, key, n, pos, root = (r[c][order] for c in ("g", "key", "n", "pos", "root"))
+    at, step = np.arange(len(order)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(order)]
+        # sizes ascend: what is too large for a row is so from there on
+        at = at[(g[at] == g[at + step]) & (key[at] == key[at + step]) & (n[at] >= similarity * n[at + step] - 1e-9)]
+        good = at[(root[at] != root[at + step]) & possible(n[at], pos[at], n[at + step], pos[at + step], similarity)]
+        if len(good):
+            yield order[good], order[good + step]
+
+
+def _paired(blocks: DataFrame, similarity: float) -> DataFrame:
+    """The rows of blocks that may be similar to another one of theirs by sizes and positions."""
     names = ["g", "key", "id", "n", "pos", "root"]
 
     def run(batches):
         for r in _groups(batches, names):
-            order = np.lexsort((r["n"], r["key"], r["g"]))
-            r = {c: v[order] for c, v in r.items()}
-            at, step, found, size = np.arange(len(order)), 0, [], 0
-            while len(at):
-                step += 1
-                at = at[at + step < len(order)]
-                # sizes ascend: what is too large for a row is so from there on
-                at = at[(r["g"][at] == r["g"][at + step]) & (r["key"][at] == r["key"][at + step]) & (r["n"][at] >= similarity * r["n"][at + step] - 1e-9)]
-                j = at + step
-                good = (r["root"][at] != r["root"][j]) & possible(r["n"][at], r["pos"][at], r["n"][j], r["pos"][j], similarity)
-                found.append(np.stack((r["id"][at[good]], r["id"][j[good]])))
-                size += found[-1].shape[1]
-                if size >= _PIECE or not len(at):
-                    a, b = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                    found, size = [], 0
-
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
+            paired = np.zeros(len(r["g"]), bool)
+            for i, j in _steps(r, similarity):
+                paired[i] = paired[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(r[c][paired]) for c in names], names=names)
+
+    return blocks.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, key long, id long, n int, pos int, root long")
+
+
+def _sparse_and_dense(blocks: DataFrame, similarity: float) -> DataFrame:
+    """(g, id, n, root, mate) of rows (g, key, id, n, pos, root, sketch) whose sketches are alike as well.
+
+    A key that has at most ``FEW`` such pairs a row in a block gives these, as id and mate.  Of
+    others all rows that have a pair are given, without mate; g then is a hash of their ids.
+    """
+    names, most = ["g", "id", "n", "root", "mate"], FEW
+
+    def run(batches):
+        for r in _groups(batches, ["g", "key", "id", "n", "pos", "root", "sketch"]):
+            sketches = np.frombuffer(b"".join(r["sketch"]), np.uint32).reshape(-1, SKETCH)
+            _, of, size = np.unique(np.stack((r["g"], r["key"])), axis=1, return_inverse=True, return_counts=True)
+            of = of.reshape(-1)
+            count, paired, pairs = np.zeros(len(size), np.int64), np.zeros(len(of), bool), []
+            for i, j in _steps(r, similarity):
+                new = ~(paired[i] & paired[j]) | (count[of[i]] <= most * size[of[i]])
+                i, j = i[new], j[new]
+                good = sketched(sketches[i], sketches[j], r["n"][i], r["n"][j], similarity)
+                i, j = i[good], j[good]
+                paired[i] = paired[j] = True
+                count += np.bincount(of[i], minlength=len(size))
+                some = count[of[i]] <= most * size[of[i]]
+                pairs.append(np.stack((i[some], j[some])))
+            i, j = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+            few = count <= most * size
+            i, j = i[few[of[i]]], j[few[of[i]]]
+            rest = np.flatnonzero(paired & ~few[of])
+            rest = rest[np.lexsort((r["id"][rest], of[rest]))]
+            g = [np.full(len(x), xxhash.xxh3_64_intdigest(r["id"][x].tobytes()), np.uint64) for x in np.split(rest, np.flatnonzero(np.diff(of[rest])) + 1)]
+            zero, both = np.zeros(len(i), np.int64), np.concatenate((i, rest))
+            mate = pa.array(np.concatenate((r["id"][j], np.zeros(len(rest), np.int64))), mask=np.arange(len(both)) >= len(i))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((zero, np.concatenate(g).view(np.int64)))), *(pa.array(r[c][both]) for c in ("id", "n", "root")), mate], names=names)
+
+    return blocks.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, id long, n int, root long, mate long")
+
+
+def _within(apart: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what all links between each key's rows in different components join.
+
+    Where a key has few pairs, each is verified.  Otherwise sets are compared where all rows of
+    a block are together, so it gives fewer links than it has rows, however many are alike; rows
+    that meet under many keys do so once.  Only rows that may be similar to another of their
+    block by sizes and positions get their sketches, and only those still so their texts.
+    """
+    near = kept(_paired(_dealt(apart), similarity), "paired")
+    each = classes.select(F.col("node").alias("id"), "sketch", "doc_id", "version")
+    found = kept(_sparse_and_dense(near.join(each.select("id", "sketch"), "id"), similarity), "paired")
+    few = _verified(found.filter("mate is not null").select(*_pairs("id", "mate")), classes, rows, shingle, similarity)
+    dense = found.filter("mate is null").dropDuplicates(["g", "id"]).select("g", F.col("g").alias("key"), "id", "n", F.lit(0).alias("pos"), "root")
+    places = each.drop("sketch").join(dense.select("id").distinct(), "id", "left_semi")
+    texts = rows.select("doc_id", "version", "text").join(places, ["doc_id", "version"]).dropDuplicates(["id"]).select("id", "text")
+    blocks = dense.join(each.select("id", "sketch"), "id").join(texts, "id")
+    names = ["g", "key", "id", "n", "pos", "root", "sketch", "text"]
+
+    def run(batches):
+        for r in _groups(batches, names):
+            sketches = np.frombuffer(b"".join(r["sketch"]), np.uint32).reshape(-1, SKETCH)
+            above: dict[int, int] = {}
+
+            def top(x):
+                while (y := above.get(x, x)) != x:
+                    above[x] = x = above.get(y, y)
+                return x
+
+            sets: dict[int, np.ndarray] = {}
+
+            def found(i):
+                if (x := int(r["id"][i])) not in sets:
+                    sets[x] = shingle_set(r["text"][i], shingle)
+                return sets[x]
+
+            a, b = [], []
+            for i, j in _steps(r, similarity):
+                good = sketched(sketches[i], sketches[j], r["n"][i], r["n"][j], similarity)
+                for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    p, q = top(int(r["root"][x])), top(int(r["root"][y]))
+                    if p == q:
+                        continue
+                    shared = len(np.intersect1d(found(x), found(y), assume_unique=True))
+                    if shared >= least_overlap(similarity, len(found(x)) + len(found(y))):
+                        above[p] = q
+                        a.append(int(r["id"][x]))
+                        b.append(int(r["id"][y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return few.union(blocks.select(names).repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long"))
 
 
 def _groups(batches, names: list[str]):
     """Arrays by name of rows that are sorted by g, cut between groups only; a group is a block or two."""
     held: list[pa.RecordBatch] = []
+    values = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -328,10 +426,10 @@ def _groups(batches, names: list[str]):
             held.append(batch)
             continue
         upto = int(np.searchsorted(g, g[-1]))
-        yield {c: np.concatenate([*(h.column(c).to_numpy() for h in held), batch.column(c).to_numpy()[:upto]]) for c in names}
+        yield {c: np.concatenate([*(values(h, c) for h in held), values(batch, c)[:upto]]) for c in names}
         held = [batch.slice(upto)]
     if held:
-        yield {c: np.concatenate([h.column(c).to_numpy() for h in held]) for c in names}
+        yield {c: np.concatenate([values(h, c) for h in held]) for c in names}
 
 
 def _classes(prints: DataFrame) -> DataFrame:
@@ -380,7 +478,7 @@ def near_text_classes(rows: DataFrame, shingle: int = 5, similarity: float = 0.8
         apart = _apart(meets, roots, turn)
         if found.count() * IDLE < rows_of:
             break
-    roots = _joined(roots, kept(_verified(_all_pairs(apart, similarity), classes, rows, shingle, similarity), "links"))
+    roots = _joined(roots, kept(_within(apart, classes, rows, shingle, similarity), "links"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("first"))
     labels = rooted.join(first.hint("merge"), "root").select("high", "low", "doc_id", "version", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version"))

@@ -263,6 +263,43 @@ def test_near_text_groups_of_frequent_shingles_are_brute_force(spark, monkeypatc
     assert [got[i] for i in range(len(texts))] == plain_near_groups(texts)
 
 
+@pytest.mark.parametrize("block", [2048, 40])
+def test_rows_of_a_key_give_no_more_links_than_join_them(spark, monkeypatch, block):
+    """All pairs of a group are alike or may be; what is returned doesn't grow with its square."""
+    monkeypatch.setattr(near_texts, "FEW", 0)
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    rng = random.Random(9)
+    texts = []
+    for i in range(90):
+        words = [f"g{i % 3}w{j}" if i % 3 else f"w{j}" for j in range(200)]
+        for _ in range(rng.randint(2, 4)):
+            words[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = near_texts._versioned(documents(spark, texts)).cache()
+    none, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    classes = near_texts._classes(near_texts._sets(rows, 5, none, counts, 0.8)).cache()
+    apart = classes.selectExpr("1L as key", "node as id", "n", "0 as pos", "node as root", "90L as size", "17640L as volume")
+    got = [(r["a"], r["b"]) for r in near_texts._within(apart, classes, rows, 5, 0.8).collect()]
+    assert len(got) < (90 if block > 90 else 6 * 90)
+    roots = {r["node"]: r["root"] for r in near_texts.connected_components(spark.createDataFrame(got, "a long, b long")).collect()}
+    assert [roots.get(i, i) for i in range(90)] == plain_near_groups(texts)
+
+
+def test_near_text_groups_with_all_keys_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "FEW", 0)
+    monkeypatch.setattr(near_texts, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(200):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words[: rng.choice([120, 110, 95])]))
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_text_groups(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_near_groups(texts)
+
+
 def test_one_id_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, b, "de", "s", 3), (2, b + " more", "en", "s", 4), (2, c, None, None, None), (None, a, "en", "s", 5), (3, None, "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
