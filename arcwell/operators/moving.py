@@ -123,10 +123,11 @@ def _least(state, chunk):
     """(v, m) of nodes that a link within their community leads to a smaller part than theirs."""
     label, part = state
     v, u, _, _ = chunk
-    inside = label[v] == label[u]
-    v, m = v[inside], part[u[inside]]
-    less = m < part[v]
-    return pa.RecordBatch.from_arrays([pa.array(v[less]), pa.array(m[less])], names=["v", "m"])
+    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    node = v[start]
+    m = np.minimum.reduceat(np.where(label[v] == label[u], part[u], part[v]), start)
+    less = m < part[node]
+    return pa.RecordBatch.from_arrays([pa.array(node[less]), pa.array(m[less])], names=["v", "m"])
 
 
 def _connected(spark, rows: DataFrame, label: np.ndarray) -> np.ndarray:
